@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, token_files, url_filter
+from . import line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_filter
 from .common import scratch_path
 
 URL_RULES = (
@@ -27,18 +27,51 @@ def op1_pack_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents")).drop("ids")
 
 
+#: The documents of one fold in five are held out of training.
+FOLDS = 5
+ACCEPTED = 0.3
+
+
+def held_out(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
+
+
+def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and score of docs, by a model fitted to the labelled documents of the folds for training."""
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
+    model = quality_model.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+    return quality_model.score(docs, model)
+
+
+def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
+
+
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages, URL_RULES, url_filter.plain_http_hosts(pages))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return judged.select(*first, *(c for c in judged.columns if c not in first))
 
 
+def op9_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256)
+    return left.select("doc_id", "n_lines", "n_dropped", digest.alias("kept_sha256"))
+
+
 def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path)
@@ -47,8 +80,11 @@ def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_bin_slack": op1_pack_bin_slack,
+    "op2_subword_quality": op2_subword_quality,
     "op4_url_cascade": op4_url_cascade,
+    "op5_simhash_vantage": op5_simhash_vantage,
     "op8_repetition_coverage": op8_repetition_coverage,
+    "op9_line_runs": op9_line_runs,
     "op10_bit_plane_files": op10_bit_plane_files,
 }
 
