@@ -78,19 +78,14 @@ class LineRuns:
         rows = self.spark.read.schema("h long, g long, n long").parquet(*runs)
         merged = rows.groupBy("h", "g").agg(F.sum("n").alias("n")).withColumn("settled", F.col("n") >= self.threshold)
         merged.sortWithinPartitions("settled", "h", "g").write.partitionBy("settled").parquet(name := self._name())
-        kinds = {r["settled"] for r in self.spark.read.parquet(name).select("settled").distinct().collect()} if self._any(name) else set()
-        if True in kinds:
-            self.settled.append(f"{name}/settled=true")
-        if False in kinds:
-            self._push(level, f"{name}/settled=false")
-
-    def _any(self, name: str) -> bool:
-        """Whether a compaction wrote any row; one without rows leaves no schema to read."""
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(name)
-        found = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(
-            self.spark._jvm.org.apache.hadoop.fs.Path(f"{name}/settled=*")
-        )
-        return len(found) > 0
+        for settled, keep in (("true", self.settled.append), ("false", lambda run: self._push(level, run))):
+            if self._written(run := f"{name}/settled={settled}"):
+                keep(run)
+
+    def _written(self, path: str) -> bool:
+        """Whether a compaction wrote rows of a kind: without them there is no folder."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
     def finish(self) -> DataFrame:
         """Compact all levels into one and return the settled hashes (h, g)."""
