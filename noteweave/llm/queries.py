@@ -57,7 +57,7 @@ def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:

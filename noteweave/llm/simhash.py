@@ -21,20 +21,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_bytes
+from .common import materialize, mix64, text_bytes
 from .components import connected_components, star_forest
 
 LEAF = 192
 PAIRS_AT_ONCE = 1 << 21
 
 
-def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
-    """SimHash of the text's word shingles, as an unsigned number."""
+def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np.ndarray:
+    """SimHash of the text's word shingles: n_words unsigned 64-bit numbers, of which the
+    first takes the shingles' XXH64 and the others further mixes of it."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(n_words, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -42,30 +43,59 @@ def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    n, ones = len(starts), np.zeros(64, np.int64)
-    for a in range(0, n, 1 << 16):
-        bounds = zip(starts[a : a + (1 << 16)].tolist(), ends[a : a + (1 << 16)].tolist(), strict=True)
+    n, ones = len(starts), np.zeros(64 * n_words, np.int64)
+    for a in range(0, n, 1 << 14):
+        bounds = zip(starts[a : a + (1 << 14)].tolist(), ends[a : a + (1 << 14)].tolist(), strict=True)
         h = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in bounds), np.uint64)
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        every = np.stack([h, *(mix64(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(1, n_words))], axis=1)
+        bits = np.unpackbits(every.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         for b in range(0, len(bits), 255):  # sums of 255 rows fit a byte
             ones += np.add.reduce(bits[b : b + 255], axis=0, dtype=np.uint8)
-    set_bits = (2 * ones > n).astype(np.uint8)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+    return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (long, the fingerprint's 64 bits) of every row's whole text."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, n_words: int = 1) -> DataFrame:
+    """doc_id and fp (the fingerprint's words, big-endian bytes) of every row's whole text."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), width, seed) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = [fingerprint(t.as_py(), width, seed, n_words).astype(">u8").tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(task, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(task, "doc_id long, fp binary")
+
+
+def as_words(raw: bytes, n_words: int) -> np.ndarray:
+    return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(-1, n_words)
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+    """Distances of fingerprints whose last axis is their words."""
+    out = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, a.shape[-1]):
+        out += np.bitwise_count(a[..., k] ^ b[..., k])
+    return out
+
+
+def pairs_within(asked: np.ndarray, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """All (i, j) with asked[i] and points[j] at distance reach or less; the words after
+    the second are looked at only where the first two leave room."""
+    head = min(2, points.shape[1])
+    d = hamming(asked[:, None, :head], points[None, :, :head])
+    i, j = np.nonzero(d <= reach)
+    if points.shape[1] > head and len(i):
+        close = hamming(asked[i], points[j]) <= reach
+        i, j = i[close], j[close]
+    return i, j
+
+
+def reach_for(similarity: float, n_words: int) -> int:
+    """Hamming distance that stands for a Jaccard similarity of shingle sets: two texts of
+    one length have the cosine 2 s / (1 + s), and differ in angle / pi of the bits; half a
+    standard deviation is added for those at the very limit."""
+    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * n_words
+    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
 
 
 @dataclass
@@ -80,14 +110,14 @@ class Partition:
     @classmethod
     def of(cls, sample: np.ndarray, depth: int, seed: int = 11) -> Partition:
         rng = np.random.default_rng(seed)
-        n = (1 << depth) - 1
-        points, radii = np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        n, n_words = (1 << depth) - 1, sample.shape[1]
+        points, radii = np.zeros((n, n_words), np.uint64), np.zeros(n, np.int64)
         groups = {0: sample}
         for i in range(n):
             own = groups.pop(i, sample[:0])
-            points[i] = rng.choice(own) if len(own) else rng.integers(0, 1 << 63, dtype=np.uint64)
-            d = hamming(own, points[i]).astype(np.int64)
-            radii[i] = int(np.median(d)) if len(own) else 32
+            points[i] = own[rng.integers(len(own))] if len(own) else rng.integers(0, 1 << 63, n_words, dtype=np.uint64)
+            d = hamming(own, points[i])
+            radii[i] = int(np.median(d)) if len(own) else 32 * n_words
             groups[2 * i + 1], groups[2 * i + 2] = own[d <= radii[i]], own[d > radii[i]]
         return cls(depth, points, radii)
 
@@ -108,7 +138,7 @@ class Partition:
             if node >= inner:
                 yield node - inner, own
                 continue
-            d = hamming(prints[own], self.points[node]).astype(np.int64)
+            d = hamming(prints[own], self.points[node])
             stack.append((2 * node + 1, own[d - reach <= self.radii[node]]))
             stack.append((2 * node + 2, own[d + reach > self.radii[node]]))
 
@@ -153,8 +183,7 @@ def linked_within(points: np.ndarray, queries: np.ndarray, reach: int, seed: int
         d_own = d_ask = None
         if len(own) > LEAF:
             vantage = every[own[0]]
-            d_own = hamming(every[own], vantage).astype(np.int64)
-            d_ask = hamming(every[asking], vantage).astype(np.int64)
+            d_own, d_ask = hamming(every[own], vantage), hamming(every[asking], vantage)
             inside = d_ask + d_own.max() <= reach
             if inside.any():  # their balls contain the whole branch
                 whole = asking[inside]
@@ -170,64 +199,64 @@ def linked_within(points: np.ndarray, queries: np.ndarray, reach: int, seed: int
         step = max(1, PAIRS_AT_ONCE // len(own))
         for k in range(0, len(asking), step):
             part = asking[k : k + step]
-            i, j = np.nonzero(hamming(every[part][:, None], every[own][None, :]) <= reach)
+            i, j = pairs_within(every[part], every[own], reach)
             links.add(part[i], own[j])
     return links.forest()
 
 
-def near_links(prints: DataFrame, reach: int = 4, shard_size: int = 200_000, min_depth: int = 5, sample: int = 8192) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (column fp) at distance `reach`
-    or less; each connected group is spanned, not every pair is listed."""
+def near_links(
+    prints: DataFrame, reach: int, n_words: int = 1, shard_size: int = 200_000, min_depth: int = 5, sample: int = 8192
+) -> DataFrame:
+    """Edges (a, b) of nodes that connect all distinct fingerprints at distance `reach` or
+    less; each connected group is spanned, not every pair is listed.  prints: fp, node."""
     n = prints.count()
     depth = max(min_depth, math.ceil(math.log2(max(1, n / shard_size))))
     # At most `sample` fingerprints reach the driver, to place the vantage points.
-    chosen = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
-    tree = Partition.of(np.array([r["fp"] for r in chosen], np.int64).view(np.uint64), depth)
+    chosen = b"".join(bytes(r["fp"]) for r in prints.orderBy("node").limit(sample).collect())
+    tree = Partition.of(as_words(chosen, n_words), depth)
+    names, kinds = ["shard", "home", "prints", "nodes"], (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            home = tree.homes(own)
-            rows: list[tuple[int, bool, bytes]] = []
+            own = as_words(b"".join(batch.column(0).to_pylist()), n_words)
+            nodes, home = batch.column(1).to_numpy(zero_copy_only=False), tree.homes(own)
+            rows: list[tuple] = []
             for shard, which in tree.visits(own, reach):
                 at_home = home[which] == shard
                 sends = (home[which] < shard) == ((home[which] + shard) % 2 == 1)
                 for is_home, pick in ((True, which[at_home]), (False, which[~at_home & sends])):
                     if len(pick):
-                        rows.append((shard, is_home, own[pick].tobytes()))
-            kinds = zip(zip(*rows, strict=True) if rows else ((), (), ()), (pa.int32(), pa.bool_(), pa.binary()), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in kinds], ["shard", "home", "prints"])
+                        rows.append((shard, is_home, own[pick].astype(">u8").tobytes(), nodes[pick].tobytes()))
+            columns = zip(*rows, strict=True) if rows else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def search(table: pa.Table) -> pa.Table:
-        parts: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        for home, raw in zip(table.column("home").to_pylist(), table.column("prints").to_pylist(), strict=True):
-            parts[home].append(np.frombuffer(raw, np.uint64))
-        points, queries = (np.concatenate(parts[k] or [np.zeros(0, np.uint64)]) for k in (True, False))
+        home = np.array(table.column("home").to_pylist(), bool)
+        raw, ids = table.column("prints").to_pylist(), table.column("nodes").to_pylist()
+        at_home, visiting = np.flatnonzero(home), np.flatnonzero(~home)
+        points, queries = (as_words(b"".join(raw[i] for i in own), n_words) for own in (at_home, visiting))
+        nodes = np.frombuffer(b"".join(ids[i] for own in (at_home, visiting) for i in own), np.int64)
         a, b = linked_within(points, queries, reach)
-        every = np.concatenate((points, queries)).view(np.int64)
-        return pa.table({"a": every[a], "b": every[b]})
+        return pa.table({"a": nodes[a], "b": nodes[b]})
 
-    dealt = prints.select("fp").mapInArrow(deal, "shard int, home boolean, prints binary")
+    dealt = prints.select("fp", "node").mapInArrow(deal, "shard int, home boolean, prints binary, nodes binary")
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def near_groups(docs: DataFrame, width: int = 4, reach: int = 4, seed: int = 42) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 4, reach: int = 4, seed: int = 42, n_words: int = 1) -> DataFrame:
     """doc_id, fp and component_id of every row.
 
     docs needs doc_id and text; other columns are ignored.  A text without words (null,
     empty, blank) has fingerprint zero and links like any other; one with fewer than
-    `width` words is one shingle.  Rows that repeat, ids included, are one document;
-    component_id is the smallest doc_id reachable over links, null ids left aside (null
-    if there is no other).  An empty table gives an empty result.
+    `width` words is one shingle.  Repeated rows link like any other.  component_id is
+    the smallest doc_id reachable over links, null ids left aside (null if there is no
+    other).  An empty table gives an empty result.
     """
-    prints = materialize(fingerprints(docs, width, seed))
-    classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected_components(near_links(classes.select("fp"), reach))
-    placed = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    prints = materialize(fingerprints(docs, width, seed, n_words))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    classes = materialize(classes.withColumn("node", F.xxhash64("fp")))
+    roots = connected_components(near_links(classes, reach, n_words))
+    placed = classes.join(roots, "node", "left").select("fp", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     of_print = placed.select("fp", "root").join(smallest, "root").select("fp", "component_id")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def hex_digits(fp) -> object:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
