@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, packing, quality_model, quality_rules, simhash, token_files, url_filter
+from . import cover_tree, line_dedup, mixing, packing, quality_model, quality_rules, simhash, token_files, url_filter
 from .common import scratch_path
 
 URL_RULES = (
@@ -60,6 +60,15 @@ def op5_simhash_vantage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "draws")
+
+
 def op8_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
     first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -83,6 +92,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_subword_quality": op2_subword_quality,
     "op4_url_cascade": op4_url_cascade,
     "op5_simhash_vantage": op5_simhash_vantage,
+    "op6_cover_tree": op6_cover_tree,
+    "op7_hypergeometric_mix": op7_hypergeometric_mix,
     "op8_repetition_coverage": op8_repetition_coverage,
     "op9_line_runs": op9_line_runs,
     "op10_bit_plane_files": op10_bit_plane_files,
