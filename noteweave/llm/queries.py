@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, line_dedup, mixing, packing, quality_model, quality_rules, simhash, token_files, url_filter
+from . import cover_tree, line_dedup, mixing, packing, quality_model, quality_rules, simhash, substring_dedup, token_files, url_filter
 from .common import scratch_path
 
 URL_RULES = (
@@ -49,6 +49,13 @@ def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
+def op3_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["high"] - s["low"])
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), n_spans, F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = url_filter.judge_urls(pages, URL_RULES, url_filter.plain_http_hosts(pages))
@@ -90,6 +97,7 @@ def op10_bit_plane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack_bin_slack": op1_pack_bin_slack,
     "op2_subword_quality": op2_subword_quality,
+    "op3_suffix_arrays": op3_suffix_arrays,
     "op4_url_cascade": op4_url_cascade,
     "op5_simhash_vantage": op5_simhash_vantage,
     "op6_cover_tree": op6_cover_tree,
