@@ -10,12 +10,12 @@ batches.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import RollingHash, binary_column, mix64, runs_of, text_bytes
@@ -177,6 +177,23 @@ def fit(
     return train(rows, bits, dim, epochs, rate, seed)
 
 
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A column function: the probability of class 1 of each row's whole text."""
+    held = spark.sparkContext.broadcast(model)  # 4 bytes for each of 2**bits buckets
+
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        raw, offsets = binary_column(texts)
+        parts = [
+            held.value.logits(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            for a, b in runs_of(np.diff(offsets), CHUNK_BYTES)
+        ]
+        logits = np.concatenate(parts or [np.zeros(0)])
+        return pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))
+
+    return lambda text: probability(F.coalesce(text.cast("binary"), F.lit(b"")))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (the probability of class 1) of every row's whole text.
 
@@ -184,16 +201,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     features, so its score comes from the bias.  Rows are scored one by one, whatever
     their doc_id; an empty table gives no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 4 bytes for each of 2**bits buckets
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, offsets = binary_column(batch.column(1))
-            parts = [
-                held.value.logits(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                for a, b in runs_of(np.diff(offsets), CHUNK_BYTES)
-            ]
-            logits = np.concatenate(parts or [np.zeros(0)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(logits, -500, 500))))], ["doc_id", "score"])
-
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(task, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), scorer(docs.sparkSession, model)(F.col("text")).alias("score"))

@@ -36,15 +36,14 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and score of docs, by a model fitted to the labelled documents of the folds for training."""
+def quality_fit(spark: SparkSession, sf_dir: str) -> quality_model.Model:
+    """A model fitted to the labelled documents of the folds for training."""
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").alias("label"))
-    model = quality_model.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
-    return quality_model.score(docs, model)
+    return quality_model.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    scored = quality_model.score(table(spark, sf_dir, "documents"), quality_fit(spark, sf_dir))
     out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 

@@ -26,6 +26,7 @@ from .components import connected_components, star_forest
 
 LEAF = 192
 PAIRS_AT_ONCE = 1 << 21
+GOLDEN = 0x9E3779B97F4A7C15
 
 
 def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np.ndarray:
@@ -47,7 +48,7 @@ def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np
     for a in range(0, n, 1 << 14):
         bounds = zip(starts[a : a + (1 << 14)].tolist(), ends[a : a + (1 << 14)].tolist(), strict=True)
         h = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in bounds), np.uint64)
-        every = np.stack([h, *(mix64(h + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15)) for k in range(1, n_words))], axis=1)
+        every = np.stack([h, *(mix64(h + np.uint64(k * GOLDEN % (1 << 64))) for k in range(1, n_words))], axis=1)
         bits = np.unpackbits(every.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         for b in range(0, len(bits), 255):  # sums of 255 rows fit a byte
             ones += np.add.reduce(bits[b : b + 255], axis=0, dtype=np.uint8)
