@@ -1,10 +1,76 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: from raw documents to packed training sequences.
+
+Each stage takes all that its predecessor kept and returns the columns of documents, but
+for the last, which returns packed pieces.  Between stages the rows are written as
+Parquet and read again, so a lost executor never costs more than one stage.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noteweave.llm import line_dedup, mixing, packing, quality_model, queries, simhash
+from noteweave.llm.common import scratch_path
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near duplicates: shingles of five words, a similarity of 0.8 or more.  Fingerprints of
+#: four words (256 bits) tell that similarity from lower ones; 64 bits cannot.
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+PRINT_WORDS = 4
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts.  Rows with a null or empty text are scored
+    like any other, by the bias alone."""
+    score = quality_model.scorer(spark, queries.quality_fit(spark, sf_dir))
+    return docs.where(score(F.col("text")) >= queries.ACCEPTED).select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that ten or more share; n_chars follows the text."""
+    left = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return left.withColumns({"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("long")}).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    reach = simhash.reach_for(SIMILARITY, PRINT_WORDS)
+    found = simhash.near_groups(docs, SHINGLE_WORDS, reach, n_words=PRINT_WORDS)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix draws them."""
+    return mixing.mixed_documents(mixing.mix_sources(docs), COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens, with their ids."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("simhash near-dedup", near_duplicates),
+    ("mixing", mix),
+    ("packing", pack),
+]
+
+#: The classifier, the fingerprints and the tokens are beyond SQL.
 ORACLE_SQL: str | None = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch_path(spark, f"stage-{name.replace(' ', '-')}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
