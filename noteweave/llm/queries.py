@@ -106,4 +106,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bit_plane_files": op10_bit_plane_files,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULE_SQL = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN {{{k}}}"
+    for k, r in enumerate(sorted(URL_RULES, key=lambda r: -len(r.name)))
+)
+_ORDERED = sorted(URL_RULES, key=lambda r: -len(r.name))
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_cascade": f"""WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), {_LOWER}), '') AS host,
+          coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, translate(split_part(url, '://', 1), {_LOWER}) AS scheme FROM pages),
+        b AS (SELECT host FROM u WHERE host <> '' GROUP BY host HAVING count(*) >= 2 AND NOT bool_or(scheme = 'https'))
+        SELECT page_id, host, path, CASE {_RULE_SQL.format(*(f"'{r.name}'" for r in _ORDERED))} END AS rule,
+          CASE {_RULE_SQL.format(*(f"'{r.verdict}'" for r in _ORDERED))} WHEN host IN (SELECT host FROM b) THEN 'block' ELSE 'allow' END AS verdict FROM u""",
+    "op6_cover_tree": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.y FROM r JOIN l ON r.other = l.x),
+        c AS (SELECT id, min(other) AS component_id FROM r GROUP BY id), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+        SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.x = c.id""",
+    "op9_line_runs": f"""WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        k AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM s),
+        t AS (SELECT doc_id, line, pos, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), {_LOWER}) AS key FROM k),
+        f AS (SELECT key FROM t WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.key) AS n_dropped,
+          sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+        FROM t LEFT JOIN f USING (key) GROUP BY doc_id""",
+}
