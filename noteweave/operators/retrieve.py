@@ -181,20 +181,31 @@ def fuzzy(mentions: DataFrame, texts: DataFrame, code: str, k: int = 30, cutoff:
     return mentions.select("id", N.for_fuzzy(F.col("mention")).alias("q")).join(ranked, "q").select("id", code, "score", "rank")
 
 
+#: Query vectors are broadcast in blocks of so many rows at most.
+QUERY_BLOCK = 10_000
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """id, vec_id, score, rank: the k vectors with the largest cosine for each query vector.
 
-    queries: id and q (array of floats), a stated set; vectors: vec_id and v.
+    queries: id and q (array of floats), a stated set, which meets all vectors block by
+    block; vectors: vec_id and v.
     """
 
     def dot(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
     norm = lambda c: F.sqrt(dot(c, c))
-    left = queries.select("id", "q", norm(F.col("q")).alias("nq"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    left = queries.select("id", "q", norm(F.col("q")).alias("nq"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
     right = vectors.select("vec_id", "v", norm(F.col("v")).alias("nv")).where("nv > 0")
-    scored = right.join(F.broadcast(left), F.lit(True)).select("id", "vec_id", (dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).alias("score"))
-    return top_k(scored, k, "id", "score", "vec_id")
+    found = None
+    for n in range(blocks):
+        own = left.where(F.col("block") == n)
+        scored = right.join(F.broadcast(own), F.lit(True)).select("id", "vec_id", (dot(F.col("q"), F.col("v")) / (F.col("nq") * F.col("nv"))).alias("score"))
+        best = top_k(scored, k, "id", "score", "vec_id")
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def structured(mentions: DataFrame, entries: DataFrame, k: int = 20) -> DataFrame:
