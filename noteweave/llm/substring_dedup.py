@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import RollingHash, binary_column, materialize, mix64, ranges, runs_of, shuffle_partitions, text_bytes
 
 GRAM = 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Exact copies are anti-joined by broadcast up to so many rows of 24 bytes, else by shuffle.
 BROADCAST_ROWS = 1_000_000
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -330,8 +330,10 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
         turn = 0
         for batch, a, b in _blocks(batches, 2):
             raw, offsets = binary_column(batch.column(2).slice(a, b - a))
-            ids, keys = (np.asarray(batch.column(k).slice(a, b - a)) for k in (0, 1))
             lists = batch.column(3).slice(a, b - a)
+            if not len(lists.flatten()):
+                continue
+            ids, keys = (np.asarray(batch.column(k).fill_null(0).slice(a, b - a)) for k in (0, 1))
             wanted = np.asarray(lists.flatten(), np.int64) + np.repeat(offsets[:-1], np.asarray(lists.value_lengths(), np.int64))
             got = list(_cut(raw, offsets, window, gram))
             if not got:
@@ -420,8 +422,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     an empty result.  Returns doc_id, n_bytes, spans (array of low and high, maximal, in
     order) and kept (the bytes that stay, end to end).
     """
-    spark = docs.sparkSession
-    bits = max(6, min(14, (4 * shuffle_partitions(spark) - 1).bit_length()))
+    partitions = shuffle_partitions(docs.sparkSession)
+    bits = max(6, min(16, (16 * partitions - 1).bit_length()))
     text = text_bytes()
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row"))
     # 1. Exact copies.
@@ -434,21 +436,27 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     held = copies.select("doc_id", "row")
     live = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
     live = live.join(F.broadcast(held) if small else held, ["doc_id", "row"], "left_anti")
-    # 2. and 3. Segments that documents share.
+    # 2. Segments that documents share.
     shared = shared_segments(live, window, gram, bits).groupBy("doc_id").agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
-    spans = repeated_spans(live.join(shared, "doc_id"), window, gram, bits)
+    # 3. Spans.  Texts are dealt out by doc_id once, and meet the starts here and the spans
+    # below; both are left joins without filters, which would make two exchanges of one.
+    dealt = rows.repartition(partitions, "doc_id")
+    none = F.array().cast("array<int>")
+    marked = dealt.join(shared, "doc_id", "left").select("doc_id", "row", "text", F.coalesce("starts", none).alias("starts"))
+    spans = repeated_spans(marked, window, gram, bits)
     whole = copies.select("doc_id", "row", F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"))
-    by_row = spans.unionByName(whole).groupBy("doc_id", "row").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("found"))
+    found = F.array_sort(F.collect_list(F.struct("row", "low", "high")))
+    by_doc = spans.unionByName(whole).groupBy("doc_id").agg(found.alias("found"))
 
     # 4. Spans meet their text.
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans_out, kept_out, sizes = [], [], []
-            for raw, found in zip(batch.column(1), batch.column(2), strict=True):
-                data, merged = raw.as_py(), []
-                values = found.values
-                if values is not None and len(values):
-                    low, high = (np.asarray(values.field(k)) for k in ("low", "high"))
+            for raw, row, found in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
+                data, merged, values = raw.as_py(), [], found.values
+                own = np.asarray(values.field("row")) == row.as_py() if values is not None else np.zeros(0, bool)
+                if own.any():
+                    low, high = (np.asarray(values.field(k))[own] for k in ("low", "high"))
                     top = np.maximum.accumulate(high)
                     new = np.append(True, low[1:] > top[:-1])
                     merged = list(zip(low[new].tolist(), top[np.append(new[1:], True)].tolist(), strict=True))
@@ -464,5 +472,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans_out, kind), pa.array(kept_out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = rows.join(by_row, ["doc_id", "row"], "left").select("doc_id", "text", "found")
+    joined = dealt.join(by_doc, "doc_id", "left").select("doc_id", "text", "row", "found")
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<low: long, high: long>>, kept binary")
