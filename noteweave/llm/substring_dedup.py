@@ -23,6 +23,7 @@ passage which a third of all documents share costs a shard one entry for each bl
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +55,16 @@ def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that goes from one large block
+    to the next does not keep the most that it ever had."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     """min(h[i : i + width]) for each i where that is inside h, by doubling."""
     have, out = 1, h
@@ -213,7 +224,7 @@ def smallest_ids(raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window:
         out[numbers] = np.repeat(least, sizes)
         if len(parts) > 1:
             key = np.zeros((len(heads), window + 1), np.uint8)
-            key[:, :window] = own[at[heads][:, None] + np.arange(window)[None, :]]
+            key[:, :window] = np.lib.stride_tricks.sliding_window_view(own, window)[at[heads]]
             key[:, window] = 1  # so that no key ends in a zero byte
             found.append((key.view(f"S{window + 1}").reshape(-1), least, np.repeat(np.arange(len(heads)), sizes)))
             found[-1] += (numbers,)  # type: ignore[assignment]
@@ -292,6 +303,7 @@ def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataF
                 turn += 1
                 rows.append((int(h[0] ^ np.uint64(turn)) % (1 << bits), b"", squeeze(doc[here]), squeeze(start[here])))
             yield emit(rows)
+            give_back()
 
     def meet(table: pa.Table) -> pa.Table:
         parts: list[list[np.ndarray]] = [[], [], [], [], []]
@@ -359,6 +371,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
                 for k, p in groups:
                     data = zstandard.ZstdCompressor(level=3).compress(raw[ranges(at[p], size[p])].tobytes()) if kind == 0 else b""
                     rows.append((k, kind, data, squeeze(size[p].astype(np.uint32)), squeeze(doc[p]), squeeze(row[p]), squeeze(start[p].astype(np.uint32))))
+            give_back()
             columns = zip(*rows, strict=True) if rows else ((),) * 7
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -403,6 +416,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
             end = which & np.append(~which[1:] | (holder[1:] != holder[:-1]), True)
             o = owners[holder[begin]]
             out.append((doc[o], row[o], start[o] + local[begin], start[o] + local[end] + window))
+        give_back()
         names_out = ("doc_id", "row", "low", "high")
         return pa.table({k: np.concatenate([x[i] for x in out]).astype(np.int64) for i, k in enumerate(names_out)})
 
@@ -423,7 +437,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     order) and kept (the bytes that stay, end to end).
     """
     partitions = shuffle_partitions(docs.sparkSession)
-    bits = max(6, min(16, (16 * partitions - 1).bit_length()))
+    bits = max(6, min(16, (32 * partitions - 1).bit_length()))
     text = text_bytes()
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row"))
     # 1. Exact copies.
@@ -450,7 +464,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
 
     # 4. Spans meet their text.
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for whole_batch, a, b in _blocks(batches, 1):
+            batch = whole_batch.slice(a, b - a)
             spans_out, kept_out, sizes = [], [], []
             for raw, row, found in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
                 data, merged, values = raw.as_py(), [], found.values
@@ -471,6 +486,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
             kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans_out, kind), pa.array(kept_out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "spans", "kept"])
+            give_back()
 
     joined = dealt.join(by_doc, "doc_id", "left").select("doc_id", "text", "row", "found")
     return joined.mapInArrow(apply, "doc_id long, n_bytes long, spans array<struct<low: long, high: long>>, kept binary")
