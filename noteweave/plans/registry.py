@@ -21,6 +21,9 @@ NUMBER = r"[0-9]+(?:[.,][0-9]+)?"
 ARTICLE = r" (?:the|de|la|der) "
 
 
+LONG_RANK = "CAST(rank AS BIGINT) AS rank"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -298,7 +301,7 @@ def _words(text):
 def bm25_topk(spark, sf_dir):
     docs = documents(spark, sf_dir).where("text is not null").select("doc_id", _words("text").alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), _words("text").alias("tokens"))
-    return retrieve.bm25(asked, docs, 5).select("id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return retrieve.bm25(asked, docs, 5).select("id", "doc_id", F.round("score", 4).alias("score"), F.expr(LONG_RANK))
 
 
 TOP = """c AS (SELECT q.vec_id AS id, v.vec_id, q.label AS gold, v.label, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
@@ -309,7 +312,7 @@ TOP = """c AS (SELECT q.vec_id AS id, v.vec_id, q.label AS gold, v.label, list_c
 def dense_topk(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("id"), F.col("v").alias("q"))  # the stated query set
-    return retrieve.dense(asked, vectors, 10).select("id", "vec_id", F.round("score", 6).alias("score"), "rank")
+    return retrieve.dense(asked, vectors, 10).select("id", "vec_id", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
 
 
 @query(
@@ -346,7 +349,7 @@ def jaccard_words(spark, sf_dir):
 )
 def word_topk(spark, sf_dir):
     words = documents(spark, sf_dir).select("lang", F.explode(_words("text")).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("score"))
-    return retrieve.top_k(words, 5, "lang", "score", "word")
+    return retrieve.top_k(words, 5, "lang", "score", "word").withColumn("rank", F.col("rank").cast("long"))
 
 
 CODES = values([(e["code"], e.get("parent_code")) for e in K.ICD_BASE], "code, parent_code")
@@ -374,7 +377,8 @@ NAMES = values([(k, e["code"], e.get("name_en"), e.get("synonyms") or [""]) for
     SELECT id, code, tier, row_number() OVER (PARTITION BY id ORDER BY tier, seq) AS rank FROM f WHERE tier IS NOT NULL QUALIFY rank <= 10"""
 )
 def kb_search_tiers(spark, sf_dir):
-    return retrieve.search_tiers(spark.createDataFrame(MENTIONS, "id int, mention string"), kb.icd(spark))
+    found = retrieve.search_tiers(spark.createDataFrame(MENTIONS, "id int, mention string"), kb.icd(spark))
+    return found.withColumn("rank", F.col("rank").cast("long"))
 
 
 @query()
@@ -412,12 +416,12 @@ def _ranked(spark):
 
 @query(f"WITH {PARTS}, f AS (SELECT id, code, sum(1.0::DOUBLE / (60 + rank) * weight * (0.5 + 0.5 * norm)) AS score FROM p GROUP BY 1, 2) {FUSED}")
 def rrf_fuse(spark, sf_dir):
-    return retrieve.fuse_ranks(_ranked(spark), "code").select("id", "code", F.round("score", 6).alias("score"), "rank")
+    return retrieve.fuse_ranks(_ranked(spark), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
 
 
 @query(f"WITH {PARTS}, f AS (SELECT id, code, sum(weight * norm) AS score FROM p GROUP BY 1, 2) {FUSED}")
 def weighted_fuse(spark, sf_dir):
-    return retrieve.fuse_weighted(_ranked(spark), "code").select("id", "code", F.round("score", 6).alias("score"), "rank")
+    return retrieve.fuse_weighted(_ranked(spark), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
 
 
 # --- resolution, metrics, tokens ---------------------------------------------------------
@@ -445,7 +449,7 @@ def span_overlap_pairs(spark, sf_dir):
     item = spans.select("doc_id", "seq", F.struct("start", "end").alias("s"))
     pairs = validate.overlap_pairs(spans).join(item.select("doc_id", F.col("seq").alias("a"), F.col("s").alias("x")), ["doc_id", "a"])
     pairs = pairs.join(item.select("doc_id", F.col("seq").alias("b"), F.col("s").alias("y")), ["doc_id", "b"])
-    return pairs.select("doc_id", "a", "b", F.round(hull_iou(F.col("x"), F.col("y")), 6).alias("iou"))
+    return pairs.select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.round(hull_iou(F.col("x"), F.col("y")), 6).alias("iou"))
 
 
 @query(
