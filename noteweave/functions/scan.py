@@ -21,6 +21,8 @@ class RuleSet:
     """Named patterns; `scan` finds them all, `of` picks the matches of one."""
 
     def __init__(self, patterns: Mapping[str, str], flags: int = re.IGNORECASE):
+        if any(re.search(r"\\[A-Z]", p) for p in patterns.values()):
+            raise ValueError("escapes in upper case would not survive lower-casing")
         self.names = {name: k for k, name in enumerate(patterns)}
         self.patterns = list(patterns.values())
         self.flags = flags
@@ -31,13 +33,20 @@ class RuleSet:
 
         @F.arrow_udf(MATCHES)
         def find(texts: pa.Array) -> pa.Array:
-            rules = [re.compile(p, flags) for p in patterns]
+            # Alternations of literals are many times faster when case matters, so rules and
+            # text are lower-cased, unless that would shift places.
+            exact = [re.compile(p.lower(), flags & ~re.IGNORECASE) for p in patterns]
+            folded = [re.compile(p, flags) for p in patterns]
             out = []
             for t in texts.to_pylist():
-                rows = []
-                for k, rule in enumerate(rules):
-                    for m in rule.finditer(t or ""):
-                        rows.append({"rule": k, "start": m.start(), "end": m.end(), "text": m[0], "groups": list(m.groups())})
+                rows, t = [], t or ""
+                low = t.lower()
+                same = len(low) == len(t)
+                for k, rule in enumerate(exact if same else folded):
+                    for m in rule.finditer(low if same else t):
+                        spans = [m.span(g) for g in range(1, rule.groups + 1)]
+                        groups = [t[a:b] if a >= 0 else None for a, b in spans]
+                        rows.append({"rule": k, "start": m.start(), "end": m.end(), "text": t[m.start() : m.end()], "groups": groups})
                 out.append(rows)
             kind = pa.struct([("rule", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("text", pa.string()), ("groups", pa.list_(pa.string()))])
             return pa.array(out, pa.list_(kind))

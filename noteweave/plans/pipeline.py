@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
-from ..functions.lineage import cut
+from ..functions.lineage import cut, spread
 from ..functions.spans import flat, piece, resolve_spans, span
 from ..operators import assertion as A
 from ..operators import extract as X
@@ -160,7 +160,7 @@ def entities(docs: DataFrame, config: Config | None = None) -> DataFrame:
     """doc_id, n, start, end, text, type, confidence, assertions of every entity in docs
     (doc_id, text), before linking.  All steps are row-local, so docs may be a stream."""
     config = config or Config()
-    rows = resolved(extract_spans(docs.select("doc_id", "text"), config), config)
+    rows = resolved(extract_spans(spread(docs.select("doc_id", "text")), config), config)
     found = with_assertions(rows, config)
     if "found" in found.columns:
         found = found.select("doc_id", F.posexplode("found").alias("n", "x")).select("doc_id", "n", "x.*")

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import spread
 from ..functions.spans import find_spans, gap_between, hull_iou
 from ..operators import assertion, dataset, extract, metrics, resolve, retrieve, tokens, validate
 from ..sources import io, kb
@@ -235,7 +236,7 @@ def sentence_segments(spark, sf_dir):
 
 
 def _scanned(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", "text", extract.RULES.scan(F.col("text")).alias("m"))
+    return spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", extract.RULES.scan(F.col("text")).alias("m"))
 
 
 @query()
@@ -264,7 +265,7 @@ def disease_mentions(spark, sf_dir):
 
 @query()
 def assertion_cues(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", assertion.RULES.scan(F.col("text")).alias("m"))
+    rows = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", assertion.RULES.scan(F.col("text")).alias("m"))
     return rows.select("doc_id", F.explode(assertion.cues(F.col("m"))).alias("c")).select("doc_id", "c.start", "c.end", "c.kind", "c.priority")
 
 

@@ -275,3 +275,21 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert sorted(got.columns) == sorted(want.columns)
     tidy = lambda df: sorted(str([round(float(x), 5) if isinstance(x, float) else x for x in r]) for r in df[sorted(df.columns)].itertuples(index=False))
     assert tidy(got) == tidy(want)
+
+
+def test_assertion_strategies(spark):
+    from noteweave.operators import ensemble
+
+    schema = "id int, is_negated boolean, is_historical boolean, is_family boolean, confidence double, p_negated double, p_historical double, p_family double, p_confidence double"
+    rows = [(1, True, False, False, 0.9, 0.2, 0.8, 0.1, 0.7), (2, False, False, False, 0.4, 0.9, 0.1, 0.1, 0.6), (3, True, False, False, 0.9, None, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = lambda s: {r.id: (r.negated, r.historical, r.origin, r.disagreement) for r in ensemble.combine(df, s).collect()}
+    assert got("rule_only") == {1: (True, False, "rule", False), 2: (False, False, "rule", False), 3: (True, False, "rule", False)}
+    assert got("voting")[1] == (True, True, "ensemble", True) and got("voting")[3] == (True, False, "rule", False)
+    assert got("rule_then_classifier")[2] == (True, False, "classifier", False) and got("rule_then_classifier")[1][2] == "rule"
+    assert got("rule_override")[1] == (True, False, "rule", True) and got("rule_override")[2] == (True, False, "ensemble", False)
+    entities = "sample_id int, text string, type string"
+    gold = spark.createDataFrame([(1, "ho", "TRIỆU_CHỨNG")], entities)
+    found = spark.createDataFrame([(1, "ho", "TRIỆU_CHỨNG"), (2, "aspirin", "THUỐC"), (2, "aspirin", "THUỐC")], entities)
+    review = ensemble.to_review(spark.range(1, 3).selectExpr("int(id) as sample_id"), gold, found)
+    assert {tuple(r) for r in review.collect()} == {(2, "count_gap", None), (2, "unmatched_entity", "aspirin"), (1, "short_span", "ho")}
