@@ -12,12 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noteweave.llm import line_dedup, mixing, packing, quality_model, queries, simhash
+from noteweave.llm import line_dedup, mixing, near_copies, packing, quality_model, queries
 from noteweave.llm.common import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Near duplicates: shingles of five words, a similarity of 0.8 or more.  Fingerprints of
-#: four words (256 bits) tell that similarity from lower ones; 64 bits cannot.
+#: Near duplicates: shingles of five words, a Jaccard similarity of 0.8 or more.
+#: Fingerprints of four words (256 bits) find the groups in which sets are compared.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 PRINT_WORDS = 4
@@ -38,9 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest doc_id."""
-    reach = simhash.reach_for(SIMILARITY, PRINT_WORDS)
-    found = simhash.near_groups(docs, SHINGLE_WORDS, reach, n_words=PRINT_WORDS)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    found = near_copies.near_copies(docs, SHINGLE_WORDS, SIMILARITY, PRINT_WORDS)
+    first = found.groupBy("component").agg(F.min("doc_id").alias("first_id")).select("first_id").distinct()
     kept = docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
     return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
 

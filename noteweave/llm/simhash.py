@@ -29,14 +29,13 @@ PAIRS_AT_ONCE = 1 << 21
 GOLDEN = 0x9E3779B97F4A7C15
 
 
-def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np.ndarray:
-    """SimHash of the text's word shingles: n_words unsigned 64-bit numbers, of which the
-    first takes the shingles' XXH64 and the others further mixes of it."""
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each of the text's word shingles, repeated ones included."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
-        return np.zeros(n_words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -44,10 +43,16 @@ def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np
         starts, ends = starts[: len(words) - width + 1], ends[width - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    n, ones = len(starts), np.zeros(64 * n_words, np.int64)
+    bounds = zip(starts.tolist(), ends.tolist(), strict=True)
+    return np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in bounds), np.uint64, len(starts))
+
+
+def fingerprint_of(hashes: np.ndarray, n_words: int = 1) -> np.ndarray:
+    """SimHash of shingle hashes: n_words unsigned 64-bit numbers, of which the first takes
+    the hashes themselves and the others further mixes of them."""
+    n, ones = len(hashes), np.zeros(64 * n_words, np.int64)
     for a in range(0, n, 1 << 14):
-        bounds = zip(starts[a : a + (1 << 14)].tolist(), ends[a : a + (1 << 14)].tolist(), strict=True)
-        h = np.fromiter((xxh64_intdigest(joined[s:e], seed) for s, e in bounds), np.uint64)
+        h = hashes[a : a + (1 << 14)]
         every = np.stack([h, *(mix64(h + np.uint64(k * GOLDEN % (1 << 64))) for k in range(1, n_words))], axis=1)
         bits = np.unpackbits(every.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little")
         for b in range(0, len(bits), 255):  # sums of 255 rows fit a byte
@@ -55,6 +60,11 @@ def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np
     return np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")
 
 
+def fingerprint(text: bytes, width: int, seed: int = 42, n_words: int = 1) -> np.ndarray:
+    """SimHash of the text's word shingles, each as often as the text has it."""
+    return fingerprint_of(shingle_hashes(text, width, seed), n_words)
+
+
 def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, n_words: int = 1) -> DataFrame:
     """doc_id and fp (the fingerprint's words, big-endian bytes) of every row's whole text."""
 
@@ -79,9 +89,11 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pairs_within(asked: np.ndarray, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j) with asked[i] and points[j] at distance reach or less; the words after
-    the second are looked at only where the first two leave room."""
-    head = min(2, points.shape[1])
+    """All (i, j) with asked[i] and points[j] at distance reach or less; the last words are
+    looked at only where the first, so many that chance pairs seldom pass, leave room."""
+    head = points.shape[1]
+    while head > 1 and 32 * (head - 1) - 14 * math.sqrt(head - 1) >= reach:
+        head -= 1
     d = hamming(asked[:, None, :head], points[None, :, :head])
     i, j = np.nonzero(d <= reach)
     if points.shape[1] > head and len(i):
@@ -90,13 +102,13 @@ def pairs_within(asked: np.ndarray, points: np.ndarray, reach: int) -> tuple[np.
     return i, j
 
 
-def reach_for(similarity: float, n_words: int) -> int:
+def reach_for(similarity: float, n_words: int, deviations: float = 0.5) -> int:
     """Hamming distance that stands for a Jaccard similarity of shingle sets: two texts of
-    one length have the cosine 2 s / (1 + s), and differ in angle / pi of the bits; half a
-    standard deviation is added for those at the very limit."""
+    one length have the cosine 2 s / (1 + s), and differ in angle / pi of the bits; some
+    standard deviations are added for those at the very limit."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * n_words
-    return round(bits * share + 0.5 * math.sqrt(bits * share * (1 - share)))
+    return round(bits * share + deviations * math.sqrt(bits * share * (1 - share)))
 
 
 @dataclass
