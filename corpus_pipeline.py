@@ -37,11 +37,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id."""
+    """One row of each group of near duplicates: that with the smallest doc_id, a null one
+    only where the group has no other; of several with that id, one."""
     found = near_copies.near_copies(docs, SHINGLE_WORDS, SIMILARITY, PRINT_WORDS)
-    first = found.groupBy("component").agg(F.min("doc_id").alias("first_id")).select("first_id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.first_id), "left_semi")
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select(*COLUMNS)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_id")
+    first = found.groupBy("component").agg(F.min(order).alias("first")).select("first.row_id")
+    kept = near_copies.with_row_id(docs).join(first, "row_id", "left_semi")
+    return kept.dropDuplicates(["row_id"]).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,12 @@ def test_set_labels_of_dense_and_sparse_sets():
     plain = [set(s.tolist()) for s in sets]
     want = components(len(sets), [(i, j) for i in range(len(sets)) for j in range(i) if linked(plain[i], plain[j])])
     assert parted(enumerate(label.tolist())) == parted(enumerate(want))
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d = ("".join(f"{k}{i} " for i in range(60)) for k in "abcd")
+    rows = [(3, b), (5, a), (5, b + "more"), (None, c), (None, c + "more"), (None, a + "more"), (7, d), (7, d), (7, d + "more")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 4 and {t[0] for _, t in kept} == set("abcd")
+    assert {(i, t[0]) for i, t in kept} == {(3, "b"), (5, "a"), (None, "c"), (7, "d")} and (3, b) in kept and (5, a) in kept
