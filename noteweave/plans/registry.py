@@ -499,6 +499,79 @@ def error_taxonomy(spark, sf_dir):
     return metrics.error_kinds(*_pair(spark)).select("doc_id", "text", "error")
 
 
+# The operators above on spans and ranks that whole tables give.
+
+#: Words with a digit, and numbers: spans that overlap.
+CODED = r"[^ \t\n]*[0-9][^ \t\n]*"
+WHOLE = f"{span_sql(NUMBER)}, {span_sql(CODED, name='c')}"
+TABLE_PAIR = """g AS (SELECT DISTINCT doc_id, match AS text, start, end_, CASE WHEN contains(match, '.') OR contains(match, ',') THEN 'decimal' ELSE 'whole' END AS type FROM s),
+  p AS (SELECT DISTINCT doc_id, match AS text, start, end_, CASE WHEN contains(match, '.') OR contains(match, ',') THEN 'decimal' ELSE 'whole' END AS type FROM c),
+  m AS (SELECT coalesce(g.type, p.type) AS type, g.doc_id IS NOT NULL AS ig, p.doc_id IS NOT NULL AS ip FROM g FULL JOIN p ON (g.doc_id, g.text, g.start, g.end_, g.type) = (p.doc_id, p.text, p.start, p.end_, p.type))"""
+
+
+def _found(spark, sf_dir, pattern):
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(find_spans(F.col("text"), pattern)).alias("i", "s"))
+    kind = F.when(F.col("s.text").rlike("[.,]"), "decimal").otherwise("whole").alias("type")
+    return rows.select("doc_id", (F.col("i") + 1).cast("long").alias("i"), "s.text", "s.start", "s.end", kind)
+
+
+@query(
+    f"""WITH {WHOLE}, v AS (SELECT doc_id, 2 * i AS seq, start, end_ FROM s UNION ALL SELECT doc_id, 2 * i + 1, start, end_ FROM c)
+    SELECT a.doc_id, a.seq AS a, b.seq AS b,
+    round(CAST(least(a.end_, b.end_) - greatest(a.start, b.start) AS DOUBLE) / (greatest(a.end_, b.end_) - least(a.start, b.start)), 6) AS iou
+    FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.seq < b.seq AND a.start < b.end_ AND b.start < a.end_"""
+)
+def span_overlap_pairs_documents(spark, sf_dir):
+    numbers, coded = _found(spark, sf_dir, NUMBER), _found(spark, sf_dir, CODED)
+    spans = numbers.withColumn("seq", 2 * F.col("i")).unionByName(coded.withColumn("seq", 2 * F.col("i") + 1))
+    item = spans.select("doc_id", "seq", F.struct("start", "end").alias("s"))
+    pairs = validate.overlap_pairs(spans).join(item.select("doc_id", F.col("seq").alias("a"), F.col("s").alias("x")), ["doc_id", "a"])
+    pairs = pairs.join(item.select("doc_id", F.col("seq").alias("b"), F.col("s").alias("y")), ["doc_id", "b"])
+    return pairs.select("doc_id", "a", "b", F.round(hull_iou(F.col("x"), F.col("y")), 6).alias("iou"))
+
+
+def _table_pair(spark, sf_dir):
+    return _found(spark, sf_dir, NUMBER), _found(spark, sf_dir, CODED)
+
+
+@query(f"WITH {WHOLE}, {TABLE_PAIR}, c2 AS (SELECT {COUNTS} FROM m) SELECT *, {RATIOS} FROM c2")
+def prf_overall_documents(spark, sf_dir):
+    return metrics.prf(*_table_pair(spark, sf_dir), key=["doc_id", *metrics.KEY])
+
+
+@query(f"WITH {WHOLE}, {TABLE_PAIR}, c2 AS (SELECT type, {COUNTS} FROM m GROUP BY type) SELECT *, {RATIOS} FROM c2")
+def prf_per_class_documents(spark, sf_dir):
+    return metrics.prf(*_table_pair(spark, sf_dir), key=["doc_id", *metrics.KEY], by=["type"])
+
+
+def _table_ranks(spark, sf_dir):
+    """The five best documents by BM25 for each benchmark item, and the 20 nearest vectors
+    for each vec_id that is an item_id; a doc_id and an equal vec_id are one code."""
+    lexical = bm25_topk(spark, sf_dir).select("id", F.col("doc_id").alias("code"), F.lit("bm25").alias("source"), "rank", "score")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    asked = vectors.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), F.col("v").alias("q"))
+    near = retrieve.dense(asked, vectors, 20).select("id", F.col("vec_id").alias("code"), F.lit("dense").alias("source"), "rank", F.round("score", 6).alias("score"))
+    return lexical.unionByName(near)
+
+
+TABLE_RANKS = f"""b AS ({ORACLE_SQL["bm25_topk"]}), dn AS (SELECT q.vec_id AS id, v.vec_id AS code, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+  FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
+  dr AS (SELECT id, code, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS rank, round(score, 6) AS score FROM dn QUALIFY rank <= 20),
+  p AS (SELECT id, doc_id AS code, rank, least(score / 20, 1) AS norm, 0.7::DOUBLE AS weight FROM b UNION ALL SELECT id, code, rank, least(score, 1), 0.75::DOUBLE FROM dr)"""
+TABLE_FUSED = "SELECT id, code, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, code) AS rank FROM f QUALIFY rank <= 20"
+
+
+@query(f"WITH {TABLE_RANKS}, f AS (SELECT id, code, sum(1.0::DOUBLE / (60 + rank) * weight * (0.5 + 0.5 * norm)) AS score FROM p GROUP BY 1, 2) {TABLE_FUSED}")
+def rrf_fuse_tables(spark, sf_dir):
+    return retrieve.fuse_ranks(_table_ranks(spark, sf_dir), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
+
+
+@query(f"WITH {TABLE_RANKS}, f AS (SELECT id, code, sum(weight * norm) AS score FROM p GROUP BY 1, 2) {TABLE_FUSED}")
+def weighted_fuse_tables(spark, sf_dir):
+    return retrieve.fuse_weighted(_table_ranks(spark, sf_dir), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
+
+
 TOKENS = [
     (1, [0, 4, 9, 0], [(0, 0), (0, 4), (5, 10), (11, 12)]),
     (2, [1, 6, 9, 1, 5], [(0, 2), (2, 4), (5, 7), (8, 9), (10, 12)]),
