@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_bytes
+from .common import give_back, materialize, mix64, text_bytes
 from .components import connected_components, star_forest
 
 LEAF = 192
@@ -134,16 +134,18 @@ class Partition:
             groups[2 * i + 1], groups[2 * i + 2] = own[d <= radii[i]], own[d > radii[i]]
         return cls(depth, points, radii)
 
-    def homes(self, prints: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(prints), np.int64)
-        for _ in range(self.depth):
+    def homes(self, prints: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """The shard of each of prints; depth cuts the tree off before its leaves."""
+        depth, node = self.depth if depth is None else depth, np.zeros(len(prints), np.int64)
+        for _ in range(depth):
             far = hamming(prints, self.points[node]) > self.radii[node]
             node = 2 * node + 1 + far
-        return node - ((1 << self.depth) - 1)
+        return node - ((1 << depth) - 1)
 
-    def visits(self, prints: np.ndarray, reach: int) -> Iterator[tuple[int, np.ndarray]]:
+    def visits(self, prints: np.ndarray, reach: int, depth: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """For each shard, which of prints have a ball of radius `reach` that touches it."""
-        stack, inner = [(0, np.arange(len(prints)))], (1 << self.depth) - 1
+        depth = self.depth if depth is None else depth
+        stack, inner = [(0, np.arange(len(prints)))], (1 << depth) - 1
         while stack:
             node, own = stack.pop()
             if not len(own):
@@ -188,27 +190,33 @@ def linked_within(points: np.ndarray, queries: np.ndarray, reach: int, seed: int
     every = np.concatenate((points, queries))
     links = _Links(len(every))
     start = np.random.default_rng(seed).permutation(len(points))
-    stack = [(start, np.arange(len(every)))]
-    while stack:
-        own, asking = stack.pop()
-        if not len(own) or not len(asking):
+    stack = [(start, np.arange(len(points), len(every)), False)]
+    while stack:  # links inside a branch (unless it is joined already), and between it and those that ask it
+        own, asking, joined = stack.pop()
+        if not len(own):
             continue
-        d_own = d_ask = None
         if len(own) > LEAF:
             vantage = every[own[0]]
             d_own, d_ask = hamming(every[own], vantage), hamming(every[asking], vantage)
-            inside = d_ask + d_own.max() <= reach
-            if inside.any():  # their balls contain the whole branch
-                whole = asking[inside]
+            if not joined and d_own.max() <= reach:
+                links.add(own[1:], np.full(len(own) - 1, own[0]))
+                joined = True
+            whole = asking[d_ask + d_own.max() <= reach]  # their balls contain the branch
+            if len(whole):
                 links.add(own, np.full(len(own), whole[0]))
                 links.add(whole[1:], np.full(len(whole) - 1, own[0]))
-                asking, d_ask = asking[~inside], d_ask[~inside]
+                asking, d_ask = asking[(rest := d_ask + d_own.max() > reach)], d_ask[rest]
             middle = int(np.median(d_own))
             if (d_own > middle).any():
                 near = d_own <= middle
-                stack.append((own[near], asking[d_ask - reach <= middle]))
-                stack.append((own[~near], asking[d_ask + reach > middle]))
+                far_asking = asking[d_ask + reach > middle]
+                if not joined:  # the two halves meet once
+                    far_asking = np.concatenate((far_asking, own[near][d_own[near] + reach > middle]))
+                stack.append((own[near], asking[d_ask - reach <= middle], joined))
+                stack.append((own[~near], far_asking, joined))
                 continue
+        if not joined:
+            asking = np.concatenate((asking, own))
         step = max(1, PAIRS_AT_ONCE // len(own))
         for k in range(0, len(asking), step):
             part = asking[k : k + step]
@@ -221,26 +229,46 @@ def near_links(
     prints: DataFrame, reach: int, n_words: int = 1, shard_size: int = 200_000, min_depth: int = 5, sample: int = 8192
 ) -> DataFrame:
     """Edges (a, b) of nodes that connect all distinct fingerprints at distance `reach` or
-    less; each connected group is spanned, not every pair is listed.  prints: fp, node."""
-    n = prints.count()
-    depth = max(min_depth, math.ceil(math.log2(max(1, n / shard_size))))
+    less; each connected group is spanned, not every pair is listed.
+
+    prints: fp, node and, optionally, level.  With levels, only fingerprints whose levels
+    differ by one at most are compared: each level has its own shards, and sends its
+    fingerprints as queries to those of the next one that their balls touch.
+    """
+    levelled = "level" in prints.columns
+    prints = prints.select("fp", "node", (F.col("level") if levelled else F.lit(0)).cast("int").alias("level"))
+    # A row for each level; levels are logarithms of sizes, so there are some dozens.
+    counts = {r["level"]: r["n"] for r in prints.groupBy("level").agg(F.count("*").alias("n")).collect()}
+    depths = {k: max(min_depth, math.ceil(math.log2(max(1, n / shard_size)))) for k, n in counts.items()}
     # At most `sample` fingerprints reach the driver, to place the vantage points.
     chosen = b"".join(bytes(r["fp"]) for r in prints.orderBy("node").limit(sample).collect())
-    tree = Partition.of(as_words(chosen, n_words), depth)
-    names, kinds = ["shard", "home", "prints", "nodes"], (pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+    tree = Partition.of(as_words(chosen, n_words), max(depths.values(), default=0))
+    names = ["level", "shard", "home", "prints", "nodes"]
+    kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = as_words(b"".join(batch.column(0).to_pylist()), n_words)
-            nodes, home = batch.column(1).to_numpy(zero_copy_only=False), tree.homes(own)
+            every = as_words(b"".join(batch.column(0).to_pylist()), n_words)
+            ids, levels = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             rows: list[tuple] = []
-            for shard, which in tree.visits(own, reach):
-                at_home = home[which] == shard
-                sends = (home[which] < shard) == ((home[which] + shard) % 2 == 1)
-                for is_home, pick in ((True, which[at_home]), (False, which[~at_home & sends])):
+            for level in np.unique(levels).tolist():
+                mine = np.flatnonzero(levels == level)
+                own, nodes = every[mine], ids[mine]
+                home = tree.homes(own, depths[level])
+
+                def add(to: int, shard: int, is_home: bool, pick: np.ndarray, own: np.ndarray = own, nodes: np.ndarray = nodes) -> None:
                     if len(pick):
-                        rows.append((shard, is_home, own[pick].astype(">u8").tobytes(), nodes[pick].tobytes()))
-            columns = zip(*rows, strict=True) if rows else ((),) * 4
+                        rows.append((to, shard, is_home, own[pick].astype(">u8").tobytes(), nodes[pick].tobytes()))
+
+                for shard, which in tree.visits(own, reach, depths[level]):
+                    at_home = home[which] == shard
+                    sends = (home[which] < shard) == ((home[which] + shard) % 2 == 1)
+                    add(level, shard, True, which[at_home])
+                    add(level, shard, False, which[~at_home & sends])
+                if level + 1 in depths:
+                    for shard, which in tree.visits(own, reach, depths[level + 1]):
+                        add(level + 1, shard, False, which)
+            columns = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def search(table: pa.Table) -> pa.Table:
@@ -250,10 +278,11 @@ def near_links(
         points, queries = (as_words(b"".join(raw[i] for i in own), n_words) for own in (at_home, visiting))
         nodes = np.frombuffer(b"".join(ids[i] for own in (at_home, visiting) for i in own), np.int64)
         a, b = linked_within(points, queries, reach)
+        give_back()
         return pa.table({"a": nodes[a], "b": nodes[b]})
 
-    dealt = prints.select("fp", "node").mapInArrow(deal, "shard int, home boolean, prints binary, nodes binary")
-    return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
+    dealt = prints.mapInArrow(deal, "level int, shard int, home boolean, prints binary, nodes binary")
+    return dealt.groupBy("level", "shard").applyInArrow(search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, width: int = 4, reach: int = 4, seed: int = 42, n_words: int = 1) -> DataFrame:

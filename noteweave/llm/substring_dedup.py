@@ -23,7 +23,6 @@ passage which a third of all documents share costs a shard one entry for each bl
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, binary_column, materialize, mix64, ranges, runs_of, shuffle_partitions, text_bytes
+from .common import RollingHash, binary_column, give_back, materialize, mix64, ranges, runs_of, shuffle_partitions, text_bytes
 
 GRAM = 20
 CHUNK_BYTES = 1 << 18
@@ -55,16 +54,6 @@ def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
-def give_back() -> None:
-    """Return freed memory to the system, so that a worker that goes from one large block
-    to the next does not keep the most that it ever had."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     """min(h[i : i + width]) for each i where that is inside h, by doubling."""
     have, out = 1, h
