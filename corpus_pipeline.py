@@ -47,12 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them."""
-    return mixing.mixed_documents(mixing.mix_sources(docs), COLUMNS)
+    """Documents as often as the mix draws them; those without words are never drawn."""
+    return mixing.mixed_documents(docs, COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens, with their ids."""
+    """Pieces of sequences of at most 1024 tokens, with their ids; repeated documents, which
+    the mix makes, are packed one by one."""
     return packing.pack_documents(docs)
 
 

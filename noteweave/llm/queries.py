@@ -71,7 +71,7 @@ def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), columns=["doc_id", "source"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "draws")
 
 

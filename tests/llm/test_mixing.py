@@ -6,9 +6,10 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from noteweave.llm import mixing, queries, simhash
+from noteweave.llm import mixing, queries
 
 from .helpers import edge_docs, edge_rows, frequent_lines, line_key, words
+from .test_near_copies import plain_components
 
 
 def test_targets_are_reshared():
@@ -32,9 +33,10 @@ def test_splitting_tree_mean():
     assert total[0] / total.sum() == pytest.approx(0.6, abs=0.03)
 
 
-def test_large_urns_are_halved():
-    got = mixing._hypergeometric(np.random.default_rng(1), 3 * 10**9, 10**9, 10**6)
-    assert abs(got - 750_000) < 5000
+def test_urns_stay_within_the_exact_sampler():
+    assert (1 + mixing.MAX_REPEATS) * mixing.MOST_BLOCKS < 10**9
+    got = mixing.hypergeometric_tree(np.array([6 * 10**8, 2 * 10**8], np.int64), 4, 1)
+    assert got.sum(axis=0).tolist() == [6 * 10**8, 2 * 10**8] and abs(got[0, 0] / got[0].sum() - 0.75) < 1e-3
 
 
 def check_mix(got, docs, shards):
@@ -88,25 +90,41 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     gone = frequent_lines([r.text for r in quality], 10)
     want = {r.doc_id: "\n".join(x for x in (r.text or "").split("\n") if line_key(x) not in gone) for r in quality}
     assert {r.doc_id: r.text for r in lines} == want and all(r.n_chars == len(r.text) for r in lines)
-    ids = sorted(want)
-    prints = np.stack([simhash.fingerprint(want[d].encode(), 5, n_words=4) for d in ids])
-    close = simhash.hamming(prints[:, None], prints[None, :]) <= simhash.reach_for(0.8, 4)
-    root = np.arange(len(ids))
-    for _ in ids:
-        root, before = np.minimum.reduce(np.where(close, root[None, :], len(ids)), axis=1), root
-        if np.array_equal(root, before):
-            break
-    assert {r.doc_id for r in near} == {ids[k] for k in np.unique(root)}
+    ids = sorted(want)  # links of the near-duplicate stage: five-word shingle sets with a similarity of 0.8 or more
+    assert {r.doc_id for r in near} == {ids[k] for k in plain_components([want[d] for d in ids])}
     assert {r.doc_id for r in mixed} <= {r.doc_id for r in near} and max(collections.Counter(r.doc_id for r in mixed).values()) <= 3
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
 
 
+def run_pipeline(spark, sf_dir, rows, labels):
+    """Rows that each stage kept; rows: documents, with an extra column whose name clashes."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    spark.createDataFrame([(*r, "x") for r in rows], schema).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{sf_dir}/stage{k}")
+        docs = spark.read.parquet(f"{sf_dir}/stage{k}")
+        kept.append(docs.collect())
+    return kept
+
+
 def test_pipeline_edge_cases(spark, tmp_path):
     rows = [(d, t, "en", s, len(t or "")) for d, t, s, _ in edge_rows()]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    for name, own in (("edge", rows), ("none", [])):
-        sf_dir = str(tmp_path / name)
-        spark.createDataFrame(own, schema).write.parquet(f"{sf_dir}/documents.parquet")
-        spark.createDataFrame([(1, 1, 0), (4, 0, 1)][: len(own)], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
-        out = corpus_pipeline.run(spark, sf_dir)
-        assert out.count() >= 0 and out.columns[0] == "doc_id"
+    kept = run_pipeline(spark, str(tmp_path / "edge"), rows, [(1, 1, 0), (4, 0, 1), (None, 1, 0)])
+    quality, lines, near, mixed, packed = kept
+    pairs = [collections.Counter((r.doc_id, r.text) for r in k) for k in kept[:4]]
+    assert pairs[0] <= collections.Counter((d, t) for d, t, *_ in rows)
+    assert collections.Counter(r.doc_id for r in lines) == collections.Counter(r.doc_id for r in quality)  # no line is in ten documents
+    want = collections.defaultdict(list)
+    for r, c in zip(lines, plain_components([r.text for r in lines]), strict=True):
+        want[c].append(r)
+    order = [min(((r.doc_id is None, r.doc_id or 0) for r in own)) for own in want.values()]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in near) == sorted(order)
+    assert set(pairs[3]) <= set(pairs[2]) and max(pairs[3].values(), default=0) <= 3 and all(words(t) for _, t in pairs[3])
+    assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
+    assert sum(r.length for r in packed if r.start == 0) > 0
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    assert all(not k for k in run_pipeline(spark, str(tmp_path / "none"), [], []))
