@@ -4,9 +4,11 @@ The library spends most of its time on words that it has met before.  Here numpy
 chunk of texts into the pre-tokens of the byte-level pattern, a hash table in numpy
 finds those that this Python worker has met, and only new pre-tokens go through the
 library's own BPE model.  The ids equal those of
-`Tokenizer.encode(text, add_special_tokens=False)`; special tokens' strings in a text
-are ordinary text.  Texts with characters beyond the basic plane go through the library
-whole.  The table is emptied when it is full, so memory is bounded.
+`Tokenizer.encode(text, add_special_tokens=False)`.  Texts with characters beyond the
+basic plane, and those that hold the string of an added token, go through the library
+whole.  The table finds a pre-token by a hash and then compares its characters, so a
+collision costs a call of the model and never gives wrong ids.  The table is emptied when
+it is full, so memory is bounded; a pre-token longer than `LONG_WORD` is never kept.
 """
 
 from __future__ import annotations
@@ -21,7 +23,11 @@ from .common import RollingHash, mix64, ranges, runs_of
 
 LETTER, NUMBER, OTHER, SPACE, NONE = 0, 1, 2, 3, 255
 CHUNK_CHARS = 1 << 20
-TABLE_BITS = 21
+TABLE_BITS = 20
+#: Characters of the longest pre-token that the table keeps.
+LONG_WORD = 256
+#: Characters that the table holds before it is emptied.
+POOL_CHARS = 1 << 24
 #: The contractions of the byte-level pattern.
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
@@ -88,8 +94,35 @@ def pretoken_starts(cp: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+class _Runs:
+    """Pre-tokens as runs of code points in one growing array."""
+
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 18, np.uint16), 0
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def add(self, chars: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(chars) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.flat[self.used : self.used + len(chars)] = chars
+        self.start = np.concatenate((self.start, self.used + np.cumsum(sizes) - sizes))
+        self.size = np.concatenate((self.size, sizes.astype(np.int32)))
+        self.used += len(chars)
+
+    def differ(self, words: np.ndarray, cp: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which words (numbers) are not the runs of cp at starts."""
+        odd = self.size[words] != sizes
+        same = np.flatnonzero(~odd)
+        n = sizes[same]
+        bad = self.flat[ranges(self.start[words[same]], n)] != cp[ranges(starts[same], n)]
+        if bad.any():
+            odd[same[np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(bad), side="right"))]] = True
+        return np.flatnonzero(odd)
+
+
 class _Table:
-    """Open addressing from pre-token hashes to runs of ids in a pool."""
+    """Open addressing from pre-token hashes to runs of ids in a pool, with the characters
+    of each pre-token in a second pool."""
 
     def __init__(self, bits: int = TABLE_BITS):
         self.mask = np.uint64((1 << bits) - 1)
@@ -101,6 +134,7 @@ class _Table:
         self.length = np.zeros(1 << 16, np.int32)
         self.pool = np.zeros(1 << 18, np.uint16)
         self.used = 0
+        self.chars = _Runs()
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Word numbers, -1 for new ones."""
@@ -116,8 +150,9 @@ class _Table:
             left = left[~hit & (key != 0)]
         return out
 
-    def add(self, h: np.ndarray, words: list[Sequence[int]]) -> None:
-        """h: distinct and new."""
+    def add(self, h: np.ndarray, words: list[Sequence[int]], chars: np.ndarray, sizes: np.ndarray) -> None:
+        """h: distinct and new; chars: the pre-tokens' code points end to end, with their sizes."""
+        self.chars.add(chars, sizes)
         n, lengths = len(h), np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter((i for w in words for i in w), np.int64, int(lengths.sum()))
         if flat.size and flat.max() > 0xFFFF and self.pool.dtype == np.uint16:
@@ -157,9 +192,9 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         self.model = self.whole.model
         self.table = _Table()
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def _encode_words(self, words: list[str]) -> list[list[int]]:
         letters = _byte_letters()
@@ -178,22 +213,39 @@ class ByteBpe:
         doc_starts = (np.cumsum(lengths) - lengths)[full]
         starts = pretoken_starts(cp, doc_starts)
         ends = np.append(starts[1:], len(cp))
+        length = ends - starts
         h = RollingHash(mix64(cp.astype(np.uint64) + np.uint64(1))).slices(starts, ends)
         h[h == 0] = 1
-        words = self.table.find(h)
-        new = np.flatnonzero(words < 0)
+        kept = np.flatnonzero(length <= LONG_WORD)
+        words = np.full(len(h), -1, np.int32)
+        words[kept] = self.table.find(h[kept])
+        new = kept[words[kept] < 0]
         if len(new):
             fresh, first = np.unique(h[new], return_index=True)
-            if self.table.n + len(fresh) > self.table.room:
+            if self.table.n + len(fresh) > self.table.room or self.table.chars.used > POOL_CHARS:
                 self.table = _Table(max(TABLE_BITS, int(len(h) * 2).bit_length()))
-                fresh, first = np.unique(h, return_index=True)
-                new = np.arange(len(h))
+                fresh, first = np.unique(h[kept], return_index=True)
+                new = kept
             at = new[first]
-            bounds = zip(starts[at].tolist(), ends[at].tolist(), strict=True)
-            self.table.add(fresh, self._encode_words([joined[a:b] for a, b in bounds]))
+            made = self._encode_words([joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            self.table.add(fresh, made, cp[ranges(starts[at], length[at])], length[at])
             words[new] = self.table.find(h[new])
+        odd = kept[self.table.chars.differ(words[kept], cp, starts[kept], length[kept])]
+        odd = np.sort(np.concatenate((odd, np.flatnonzero(length > LONG_WORD))))
+        words[odd] = 0
         sizes = self.table.length[words].astype(np.int64)
-        ids = self.table.pool[ranges(self.table.start[words], sizes)].astype(np.uint32)
+        if len(odd):  # those that the table does not hold
+            made = self._encode_words([joined[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
+            sizes[odd] = [len(w) for w in made]
+            ids = np.zeros(int(sizes.sum()), np.uint32)
+            held = np.ones(len(words), bool)
+            held[odd] = False
+            place = np.cumsum(sizes) - sizes
+            own = ranges(self.table.start[words[held]], sizes[held])
+            ids[ranges(place[held], sizes[held])] = self.table.pool[own]
+            ids[ranges(place[odd], sizes[odd])] = [i for w in made for i in w]
+        else:
+            ids = self.table.pool[ranges(self.table.start[words], sizes)].astype(np.uint32)
         before = np.concatenate(([0], np.cumsum(sizes)))
         edges = np.append(np.searchsorted(starts, doc_starts), len(starts))
         counts[full] = before[edges[1:]] - before[edges[:-1]]
@@ -201,7 +253,7 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids (uint32) of each text in turn."""
-        odd = [not t.isascii() and max(t) > "￿" for t in texts]
+        odd = [(not t.isascii() and max(t) > "￿") or any(x in t for x in self.added) for t in texts]
         plain = ["" if o else t for t, o in zip(texts, odd, strict=True)]
         sizes = np.fromiter(map(len, plain), np.int64, len(plain))
         for a, b in runs_of(sizes, CHUNK_CHARS):

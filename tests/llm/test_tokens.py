@@ -16,7 +16,6 @@ from noteweave.llm.bpe import ByteBpe, default_tokenizer
 from .helpers import edge_docs, edge_rows
 
 LIBRARY = Tokenizer.from_file(default_tokenizer())
-LIBRARY.encode_special_tokens = True
 FAST = ByteBpe(default_tokenizer())
 
 
@@ -30,6 +29,33 @@ def test_ids_equal_the_library(texts):
     assert [x.tolist() for x in FAST.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def thue_morse(n, a, b):
+    """Two words whose polynomial hashes modulo 2**64 agree from 1024 letters on."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048, 4096])
+def test_ids_of_words_with_one_hash(n):
+    a, b = thue_morse(n, "a", "b")
+    texts = [f"{a} {b}", b, a, f"{b}!{a}", f"{a}<|endoftext|>{b}"]
+    assert [x.tolist() for x in ByteBpe(default_tokenizer()).encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_found_word_is_compared(monkeypatch):
+    class OneHash:
+        def __init__(self, values):
+            pass
+
+        def slices(self, start, end):
+            return np.full(len(start), 9, np.uint64)
+
+    monkeypatch.setattr("noteweave.llm.bpe.RollingHash", OneHash)
+    texts = ["some words", "share one hash", "some words share one hash"]
+    assert [x.tolist() for x in ByteBpe(default_tokenizer()).encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_ids_survive_a_full_table(monkeypatch):
     small = ByteBpe(default_tokenizer())
     small.table.room = 5
