@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, worker_bpe
-from .common import text_bytes
+from .common import give_back, text_bytes
 
 #: sequence_id = input partition * SEQUENCES_PER_TASK + number in the task.
 SEQUENCES_PER_TASK = 1 << 40
@@ -91,6 +91,8 @@ class Packer:
             self._put(piece)
 
     def _put(self, piece: Piece) -> None:
+        if piece.ids.base is not None:  # a view would keep all ids of its document
+            piece.ids = piece.ids.copy()
         self.pool.setdefault(len(piece.ids), []).append(piece)
         self.n_pool += 1
 
@@ -172,8 +174,9 @@ def pack_documents(
     """Pack all documents into sequences of at most `window` tokens.
 
     docs needs doc_id and text; other columns are ignored, whatever their names.  Rows
-    with a null doc_id or a repeated doc_id are documents of their own.  A null or
-    empty text is one token, the separator.  Returns one row per piece: doc_id, start,
+    with a null doc_id or a repeated doc_id are documents of their own, equal texts too.
+    A null or empty text is one token, the separator; a very long one fills windows as it
+    is cut.  Returns one row per piece: doc_id, start,
     length, ids_crc32, doc_tokens, sequence_id, offset, sequence_length, ids
     (little-endian unsigned 32-bit).  An empty table gives no rows.  The same input
     partitions give the same rows.
@@ -193,7 +196,9 @@ def pack_documents(
                         packer.fill(pool_items // 2)
                     if rows.bytes >= flush_bytes:
                         yield rows.batch()
+                        give_back()
         packer.fill()
         yield rows.batch()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).mapInArrow(task, PIECES)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_tokenizer, worker_bpe
-from .common import shuffle_partitions, text_bytes
+from .common import give_back, shuffle_partitions, text_bytes
 
 WIDTH = {"byte": 4, "bit": 32}
 BLOCKS = (
@@ -166,8 +166,10 @@ def write_token_files(
                     writer.add(doc_id, np.concatenate((ids, end)))
                 if len(writer.rows) >= 16:
                     yield writer.batch()
+                    give_back()
         writer.close()
         yield writer.batch()
+        give_back()
 
     order = ["doc_id", "tie"]
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes().alias("text")).withColumn("tie", F.xxhash64("text"))
