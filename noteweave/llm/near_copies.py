@@ -29,6 +29,7 @@ DEVIATIONS = 5.0
 #: Shingles of a block of a coarse group; shingles of whole small groups taken at once.
 BLOCK_SHINGLES = 1 << 20
 HELD_SHINGLES = 1 << 19
+SALTS = 16
 
 
 def set_labels(tokens: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
@@ -202,11 +203,14 @@ def near_copies(docs: DataFrame, width: int, similarity: float, n_words: int) ->
     placed = materialize(sets.join(roots, ["fp", "level"]).select("node", "row_id", "size", "level", "root"))
     # A large group is taken in pieces of two neighbouring levels, a large piece in blocks.
     groups = placed.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("all")).where("n > 1")
-    large = groups.select("root", (F.col("all") > BLOCK_SHINGLES).alias("large"))
+    # A group may hold a third of all rows: its rows meet what is said of it in SALTS places.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    large = groups.select("root", (F.col("all") > BLOCK_SHINGLES).alias("large"), salts)
+    placed = placed.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int"))
     pieces = F.when(F.col("large"), F.array(F.col("level") - 1, "level")).otherwise(F.array(F.lit(0)))
-    dealt = materialize(placed.join(large, "root").withColumn("piece", F.explode(pieces)).drop("level", "large"))
+    dealt = materialize(placed.join(large, ["root", "salt"]).withColumn("piece", F.explode(pieces)).drop("level", "large"))
     blocks = dealt.groupBy("root", "piece").agg(F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("k"))
-    met = dealt.join(blocks, ["root", "piece"]).withColumn("own", F.pmod(F.xxhash64("node"), "k"))
+    met = dealt.join(blocks.select("*", salts), ["root", "piece", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), "k"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).where("k = 1 or own <> other")
     met = met.select("root", "piece", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "row_id")
     texts = with_row_id(docs).select("row_id", text_bytes().alias("text"))
