@@ -153,7 +153,10 @@ def fit(
 ) -> Model:
     """Fit on a sample of labels (doc_id, label), at most max_per_class rows a class.
 
-    The sample bounds what reaches the driver; its texts are taken whole.
+    The sample bounds what reaches the driver; its texts are taken whole.  Of the texts of
+    a repeated doc_id one counts, that with the smallest hash; null and empty texts have no
+    features and teach the bias alone.  Rows are put in an order of their content, so the
+    same tables give the same model.  No labels, or those of one class, give a constant.
     """
     sample = F.broadcast(training_sample(labels, max_per_class, seed))  # 2 * max_per_class rows
 
@@ -169,11 +172,12 @@ def fit(
             columns = [batch.column(0), pa.array(slots_out, pa.binary()), pa.array(shares_out, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["label", "slots", "shares"])
 
-    texts = docs.join(sample, "doc_id").select(F.col("label").cast("int"), text_bytes().alias("text"), F.xxhash64("doc_id", "text").alias("o"))
+    own = docs.select("doc_id", text_bytes().alias("text")).join(sample, "doc_id")
+    texts = own.groupBy("doc_id").agg(F.first("label").cast("int").alias("label"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     found = texts.select("label", "text").mapInArrow(task, "label int, slots binary, shares binary").collect()
     rows = [(r["label"], np.frombuffer(r["slots"], "<i4"), np.frombuffer(r["shares"], "<f4")) for r in found]
     # The order of collected rows depends on the tasks; their content does not.
-    rows.sort(key=lambda r: (r[0], len(r[1]), r[1][:64].tobytes()))
+    rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))
     return train(rows, bits, dim, epochs, rate, seed)
 
 
