@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -113,8 +114,70 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^61 - 1, in place; x: uint64."""
+    high = x >> np.uint64(61)
+    x &= _P
+    x += high
+    np.subtract(x, _P, out=x, where=x >= _P)
+    return x
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2^61 - 1, for a and b below it: halves of 31 and 30 bits."""
+    half, low, part = np.uint64(31), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a0 * b1 + a1 * b0  # times 2^31
+    out = a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + a0 * b0
+    return _folded(_folded(out) + ((middle & part) << half))
+
+
+class PrimeHash:
+    """Hashes of slices of an array of small numbers, for comparison with each other: values
+    of a polynomial modulo 2^61 - 1 at a point that each worker draws at random.  Two
+    different slices of n numbers agree with a probability of n / 2^61 at most, whatever
+    the numbers are, so no text can be made to collide."""
+
+    BASE = np.uint64(int.from_bytes(os.urandom(8), "little") % (PRIME - 1000) + 500)
+    _power = np.ones(1, np.uint64)
+
+    @classmethod
+    def _powers(cls, n: int) -> np.ndarray:
+        while len(cls._power) < n:
+            step = _times(cls._power[-1:], np.array([cls.BASE]))
+            cls._power = np.concatenate((cls._power, _times(cls._power, step)))
+        return cls._power[:n]
+
+    def __init__(self, values: np.ndarray):
+        """values: unsigned numbers below 2^16."""
+        n, half, step = len(values), np.uint64(31), 1 << 14  # steps that stay in the cache
+        self.power = self._powers(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        for a in range(0, n, step):
+            power, out = self.power[a : min(n, a + step)], self.sums[a + 1 : a + 1 + step]
+            v = values[a : a + step].astype(np.uint64) + np.uint64(1)
+            middle = v * (power >> half)
+            terms = _folded(((middle & np.uint64((1 << 30) - 1)) << half) + (middle >> np.uint64(30)) + v * (power & np.uint64((1 << 31) - 1)))
+            low = np.cumsum(terms & np.uint64(0xFFFFFFFF), dtype=np.uint64)
+            high = np.cumsum(terms >> np.uint64(32), dtype=np.uint64)  # times 2^32, so that bits from the 29th on come round
+            out[:] = ((high & np.uint64((1 << 29) - 1)) << np.uint64(32)) + (high >> np.uint64(29)) + low + self.sums[a]
+            _folded(out)
+
+    def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Brought to one degree by the power that each start lacks to the array's length."""
+        own = _folded(self.sums[end] + (_P - self.sums[start]))
+        return mix64(_times(own, self.power[len(self.sums) - 1 - start]))
+
+
 class RollingHash:
-    """Hashes of any slice of one array from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any slice of one array from prefix sums of a polynomial modulo 2**64.
+
+    Fast, but texts can be made to collide: for finding candidates that are then compared.
+    """
 
     BASE = 0x9E3779B97F4A7C15 | 1
     INVERSE = pow(BASE, -1, 1 << 64)

@@ -1,9 +1,11 @@
 """Repetition rules: how much of a text lies inside repeated n-grams and lines.
 
-Everything runs over whole Arrow batches in numpy.  Words and lines get 64-bit rolling
-hashes from prefix sums of a polynomial; the hash of an n-gram is again a slice of prefix
-sums, over the words' hashes; equal hashes inside one text are repetitions.  Words are
-runs of anything but ASCII white space, so texts are looked at as UTF-8 bytes.
+Everything runs over whole Arrow batches in numpy.  Words and lines get rolling hashes
+from prefix sums of a polynomial modulo 2^61 - 1 at a random point, so that no text can
+be made to collide (two different lines of n bytes agree with a probability of n / 2^61
+at most); the hash of an n-gram is a slice of prefix sums over its words' hashes, modulo
+2^64; equal hashes inside one text are repetitions.  Words are runs of anything but ASCII
+white space, so texts are looked at as UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RollingHash, binary_column, mix64, runs_of, text_bytes
+from .common import PrimeHash, RollingHash, binary_column, mix64, runs_of, text_bytes
 
 #: Largest share of a text's word characters inside repeated n-grams, by n, and of
 #: characters inside repeated lines.  Fixed values: published limits of this rule.
@@ -29,7 +31,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
-_BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def _repeated(keys: np.ndarray) -> np.ndarray:
@@ -83,7 +84,7 @@ def measure(raw: np.ndarray, offsets: np.ndarray, ngrams: tuple[int, ...]) -> di
     lasts = offsets[1:] - 1
     closes[lasts[lasts >= 0]] = True
     ends = np.flatnonzero(closes & ~space) + 1
-    rolling = RollingHash(_BYTE_VALUE[raw])
+    rolling = PrimeHash(raw)
     words = rolling.slices(starts, ends)
     edges = np.searchsorted(starts, offsets)  # of each text's words
     out["n_words"] = np.diff(edges)

@@ -40,6 +40,14 @@ def edge_docs(spark, rows=None):
     return spark.createDataFrame(edge_rows() if rows is None else rows, "doc_id long, text string, source string, n_words string").repartition(3)
 
 
+def thue_morse(n: int, a: str, b: str) -> tuple[str, str]:
+    """Two strings of n letters or more whose polynomial hashes modulo 2**64 agree, whatever
+    the base, from 1024 letters on."""
+    while len(a) < n:
+        a, b = a + b, b + a
+    return a, b
+
+
 def words(text: str | None) -> list[str]:
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 

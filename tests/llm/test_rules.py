@@ -5,11 +5,12 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 
-from noteweave.llm import line_dedup, quality_model, quality_rules, queries, url_filter
+from noteweave.llm import common, line_dedup, quality_model, quality_rules, queries, url_filter
 
-from .helpers import edge_docs, edge_rows, frequent_lines, line_key, words
+from .helpers import edge_docs, edge_rows, frequent_lines, line_key, thue_morse, words
 
 
 def plain_rules(text):
@@ -53,6 +54,28 @@ def test_rules_query(spark, sf_dir):
         assert as_key(r.asDict()) == as_key(plain_rules(texts[r.doc_id]))
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_rules_of_texts_with_one_hash(spark, n):
+    a, b = thue_morse(n, "a", "b")
+    c, d = thue_morse(n, "w x ", "y z ")
+    texts = [f"{a}\n{b}", f"{a} {b} " * 6, f"{c}\n{d}\n{c}", " ".join([a, "u", "v", "w", "x", b, "u", "v", "w", "x"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: as_key(r.asDict()) for r in quality_rules.repetition_rules(docs).collect()}
+    assert got == {k: as_key(plain_rules(t)) for k, t in enumerate(texts)}
+
+
+def test_prime_hash_is_the_polynomial():
+    raw = np.random.default_rng(1).integers(0, 256, 40_000, dtype=np.uint8)
+    made, base, power, total = common.PrimeHash(raw), int(common.PrimeHash.BASE), 1, 0
+    for k, v in enumerate(raw.tolist()):
+        assert int(made.power[k]) == power and int(made.sums[k]) == total
+        total, power = (total + (v + 1) * power) % common.PRIME, power * base % common.PRIME
+    twice = common.PrimeHash(np.concatenate((raw, raw)))
+    at = np.arange(0, 39_000, 7)
+    assert np.array_equal(twice.slices(at, at + 900), twice.slices(at + 40_000, at + 40_900))
+    assert len(np.unique(twice.slices(at, at + 900))) == len(at)
+
+
 URLS = [
     None,
     "",
@@ -142,8 +165,6 @@ def test_lines_query(spark, sf_dir):
 
 
 def test_features_do_not_depend_on_neighbours():
-    import numpy as np
-
     texts = [b"", b"a", b"ab cd", b"same same same", "é x".encode(), b"abcdefgh ijk"]
     raw = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
@@ -160,6 +181,55 @@ def test_features_do_not_depend_on_neighbours():
         assert together[k] == alone
 
 
+def plain_features(text, bits):
+    """Buckets of a text, n-gram by n-gram: characters (bytes), words and word pairs."""
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = ((x ^ x >> 33) * m) % 2**64
+        return x ^ x >> 33
+
+    def slot(x, kind):
+        return int(quality_model._slot(np.array([x], np.uint64), bits, kind)[0])
+
+    def word(w):
+        base = common.RollingHash.BASE
+        return mix(sum(mix(c + 1) * pow(base, k, 2**64) for k, c in enumerate(w)) % 2**64)
+
+    out = []
+    for n in quality_model.CHAR_NGRAMS:
+        out += sorted(slot(int.from_bytes(text[k : k + n], "little"), n - 1) for k in range(len(text) - n + 1))
+    own = [word(w) for w in re.findall(rb"[^\x20\x09-\x0D]+", text)]
+    out += sorted(slot(w, 11) for w in own)
+    return out + sorted(slot(mix((b - a) % 2**64), 13) for a, b in zip(own, own[1:], strict=False))
+
+
+@pytest.mark.parametrize("text", [b"a", b"ab cd", b"same same same", "é x\ny".encode(), b"one two  three four " * 9])
+def test_features_against_plain_ones(text):
+    got = []
+    for slots, _ in quality_model.features(np.frombuffer(text, np.uint8), np.array([0, len(text)]), 16):
+        got += sorted(slots.tolist())
+    assert got == plain_features(text, 16)
+
+
+def test_score_is_the_mean_of_the_buckets(spark):
+    rng = np.random.default_rng(3)
+    model = quality_model.Model(rng.normal(size=1 << 16).astype(np.float32), 0.25, 16)
+    rows = [(d, t) for d, t, *_ in edge_rows()]
+    docs = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    for r in quality_model.score(docs, model).collect():
+        own = plain_features((rows[r.doc_id][1] or "").encode(), 16)
+        z = 0.25 + (model.bucket_logits[own].astype(float).mean() if own else 0)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_fit_does_not_depend_on_partitions(spark):
+    rows = [(k % 40, f"{'good words here' if k % 2 else 'bad bad junk'} {k % 40} {k // 80}") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, label int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (quality_model.fit(docs.repartition(n), labels, bits=12, epochs=2) for n in (1, 5))
+    assert np.array_equal(a.bucket_logits, b.bucket_logits) and a.bias == b.bias
+
+
 def test_model_edge_cases(spark):
     labels = spark.createDataFrame([(1, 1), (4, 0), (7, 1), (7, 0), (None, 1), (10, None), (999, 1)], "doc_id long, label int")
     model = quality_model.fit(edge_docs(spark), labels)

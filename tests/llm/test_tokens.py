@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from noteweave.llm import packing, queries, token_files
 from noteweave.llm.bpe import ByteBpe, default_tokenizer
 
-from .helpers import edge_docs, edge_rows
+from .helpers import edge_docs, edge_rows, thue_morse
 
 LIBRARY = Tokenizer.from_file(default_tokenizer())
 FAST = ByteBpe(default_tokenizer())
@@ -29,13 +29,6 @@ def test_ids_equal_the_library(texts):
     assert [x.tolist() for x in FAST.encode(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def thue_morse(n, a, b):
-    """Two words whose polynomial hashes modulo 2**64 agree from 1024 letters on."""
-    while len(a) < n:
-        a, b = a + b, b + a
-    return a, b
-
-
 @pytest.mark.parametrize("n", [64, 256, 1024, 2048, 4096])
 def test_ids_of_words_with_one_hash(n):
     a, b = thue_morse(n, "a", "b")
