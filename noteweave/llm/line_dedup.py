@@ -62,7 +62,7 @@ class LineRuns:
     def add(self, batch: DataFrame) -> None:
         """Add a batch: rows of h, g and n, one for each distinct line of the batch."""
         if self.settled:
-            batch = batch.join(self.settled_keys(), ["h", "g"], "left_anti")
+            batch = batch.join(self.settled_keys().hint("merge"), ["h", "g"], "left_anti")
         batch.select("h", "g", "n").sortWithinPartitions("h", "g").write.parquet(name := self._name())
         self._push(0, name)
 
