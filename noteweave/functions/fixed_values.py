@@ -346,3 +346,28 @@ DIACRITIC_VARIANTS = {'á': ['à', 'a', 'ả', 'ã', 'ạ'],
  'ô': ['o', 'ò', 'ó', 'ỏ', 'õ', 'ọ'],
  'đ': ['d']}
 PATIENT_PRONOUNS = ['Bệnh nhân', 'BN', 'Người bệnh', 'Bệnh', 'BN nam', 'BN nữ']
+
+# Patterns of the baseline drug parser.
+BASE_STRENGTH = r"(?i)(\d+(?:[.,]\d+)?)\s*(mg|g|ml|mcg|iu|%)"
+BASE_FORMS = "tablet|capsule|injection|solution|cream|ointment|drops|syrup|spray|patch|inhaler|powder|granules|tab|cap|inj|sol|crem|ung"
+BASE_ROUTES = "po|oral|iv|im|sc|topical|inh|inhale|rectal|sublingual|sl|intranasal|transdermal|ophthalmic|otic|vaginal"
+BASE_FREQUENCIES = r"q\d+h?|qd|bid|tid|qid|daily|weekly|monthly|once|twice|thrice|prn|qhs|qam|qpm|qod|ac|pc|stat"
+
+# Headers of history sections.
+SECTION_CUE = r"(?imU)^[ \t]*\d+[\.\)][ \t]+tiền\s+sử\b|^[ \t]*-*[ \t]*tiền\s+sử\s+bệnh\s+hiện\s+tại\b"
+SECTION_HEADER = r"(?imU)^[ \t]*\d+[\.\)][ \t]+tiền\s+sử\b|^[ \t]*-*[ \t]*tiền\s+sử\s+bệnh\s+hiện\s+tại\b|^tiền\s+sử\s+bệnh\s+(?=\s)(?!\S)"
+
+# Forms that exclude each other, and penalties and boosts of the ontology checks.
+CONFLICTING_FORMS = [("tablet", "injection"), ("injection", "tablet"), ("cream", "tablet"), ("tablet", "cream"), ("syrup", "tablet"), ("tablet", "syrup")]
+CHILD_PENALTY, EXCLUDE_PENALTY, FORM_PENALTY = 0.25, 1.0, 0.2
+INCLUDE_SHARE, INCLUDE_HIT, INCLUDE_MOST = 0.15, 0.05, 0.25
+STRENGTH_PENALTIES = {0.5: 0.5, 0.2: 0.3, 0.0: 0.15}
+
+# Words of the simple paraphrase and what they may become.
+PARAPHRASES = {
+    "bệnh nhân": ["BN", "người bệnh", "bệnh"],
+    "ho": ["ho", "ho khan", "ho đờm"],
+    "sốt": ["sốt", "sốt cao", "nóng sốt"],
+    "đau": ["đau", "đau nhức", "đau đớn"],
+    "dùng": ["dùng", "sử dụng", "uống"],
+}

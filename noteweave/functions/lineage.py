@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: `spark.checkpoint.dir` where the
+    session names it, else the checkpoint folder set on the context.  With neither, a local
+    session gets a temporary one, and a cluster an error."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if held.isEmpty():
+        if not named and not (sc.master.startswith("local") and "cluster" not in sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="noteweave-"))
+    return named or sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the session's checkpoint folder and go on from there; where the session
-    names none (local mode), a temporary folder is set."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="noteweave-"))
+    """Write df to the session's checkpoint folder and go on from there."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

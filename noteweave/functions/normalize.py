@@ -14,7 +14,6 @@ from pyspark.sql.types import StringType
 
 from .fixed_values import ABBREVIATIONS, BRAND_ALIASES, BRAND_INDICATORS, DOSE_FORMS, INGREDIENT_SYNONYMS, SYNONYMS
 
-STRENGTH = r"(?iU)(\d+(?:[.,]\d+)?)\s*(mg|g|ml|mcg|iu|%)"
 DASHES = "‐‑‒–—―−"
 
 
@@ -90,46 +89,46 @@ def normalize_drug(text: Column) -> Column:
     return expand(F.regexp_replace(_tidy(text), r"(\d+),(\d+)", "$1.$2"), BRAND_ALIASES, INGREDIENT_SYNONYMS)
 
 
-def text_before(text: Column, part: Column) -> Column:
-    """What stands in front of the first occurrence of part; the whole text if there is none or part is empty."""
-    at = F.call_function("locate", part, text)
-    return F.when((part != "") & (at > 0), F.substring(text, F.lit(1), at - 1)).otherwise(text)
+DRUG = "struct<original:string,ingredients:array<string>,strength_values:array<double>,strength_units:array<string>,dose_form:string,brand:string>"
+_STRENGTH = re.compile(r"(\d+(?:[.,]\d+)?)\s*(mg|g|ml|mcg|iu|%)", re.IGNORECASE)
+_FORMS = [(term, re.compile(rf"\b{term}\b"), form) for term, form in DOSE_FORMS.items()]
+_COUNTED = re.compile(r"^(viên|tablet|capsule|mg|g|ml)\s+", re.IGNORECASE)
+
+
+def drug_of(text: str | None) -> dict | None:
+    """The parts of a drug mention: all strengths, the first known form, the ingredients in
+    front of the first strength and form, and what follows a word for brands."""
+    text = (text or "").strip()
+    if not text:
+        return None
+    low, found = text.lower(), list(_STRENGTH.finditer(text))
+    form = next((f for _, rule, f in _FORMS if rule.search(low)), None)
+    head = (text[: found[0].start()] if found else text).strip(" ")
+    places = [p for term, _, _ in _FORMS if (p := head.lower().find(term)) >= 0]
+    if form and places:
+        head = head[: min(places)].strip(" ")
+    mark = next((m for m in "+/&" if m in head), None)
+    parts = (re.sub(r"^[0-9]+\s*$", "", p.strip(" ")).strip(" ") for p in (head.split(mark) if mark else [head]))
+    brand = next((text[p:].strip(" ") for w in BRAND_INDICATORS if (p := low.find(w)) >= 0), None)
+    return {
+        "original": text,
+        "ingredients": [p for p in (_COUNTED.sub("", p).strip(" ") for p in parts) if p],
+        "strength_values": [float(m[1].replace(",", ".")) for m in found],
+        "strength_units": [m[2].upper() for m in found],
+        "dose_form": form,
+        "brand": brand,
+    }
 
 
-def dose_form(text: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for term, form in reversed(list(DOSE_FORMS.items())):
-        out = F.when(F.rlike(F.lower(text), F.lit(rf"(?U)\b{term}\b")), form).otherwise(out)
-    return out
+def parse_drug(text: Column) -> Column:
+    """Struct original, ingredients, strength_values, strength_units, dose_form, brand; null
+    without text.  Each part depends on those before it, which as nested expressions takes
+    longer to compile than to run, so it is one Arrow function."""
 
+    @F.arrow_udf(DRUG)
+    def parse(texts: pa.Array) -> pa.Array:
+        names = pa.list_(pa.string())
+        kind = pa.struct([("original", pa.string()), ("ingredients", names), ("strength_values", pa.list_(pa.float64())), ("strength_units", names), ("dose_form", pa.string()), ("brand", pa.string())])
+        return pa.array([drug_of(t) for t in texts.to_pylist()], kind)
 
-def parse_drug(text: Column) -> Column:
-    """Struct original, ingredients, strength_values, strength_units, dose_form, brand; null without text."""
-    text = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    values = F.transform(F.regexp_extract_all(text, F.lit(STRENGTH), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).cast("double"))
-    units = F.transform(F.regexp_extract_all(text, F.lit(STRENGTH), F.lit(2)), F.upper)
-    form = dose_form(text)
-    head = F.btrim(text_before(text, F.regexp_extract(text, STRENGTH, 0)))
-    places = F.array(*(F.instr(F.lower(head), term) for term in DOSE_FORMS))
-    at = F.array_min(F.filter(places, lambda p: p > 0))
-    cut = F.when(form.isNotNull() & at.isNotNull(), F.btrim(F.substring(head, F.lit(1), at - 1))).otherwise(head)
-    parts = F.when(F.contains(cut, F.lit("+")), F.split(cut, r"\+")).when(F.contains(cut, F.lit("/")), F.split(cut, "/"))
-    parts = parts.when(F.contains(cut, F.lit("&")), F.split(cut, "&")).otherwise(F.array(cut))
-
-    def clean(x: Column) -> Column:
-        bare = F.btrim(F.regexp_replace(F.btrim(x), r"^\d+\s*$", ""))
-        return F.btrim(F.regexp_replace(bare, r"(?iU)^(viên|tablet|capsule|mg|g|ml)\s+", ""))
-
-    brand = F.lit(None).cast("string")
-    for word in reversed(BRAND_INDICATORS):
-        at = F.instr(F.lower(text), word)
-        brand = F.when(at > 0, F.btrim(F.substring(text, at, F.char_length(text)))).otherwise(brand)
-    parsed = F.struct(
-        text.alias("original"),
-        F.filter(F.transform(parts, clean), lambda x: x != "").alias("ingredients"),
-        values.alias("strength_values"),
-        units.alias("strength_units"),
-        form.alias("dose_form"),
-        brand.alias("brand"),
-    )
-    return F.when(text.isNotNull() & (text != ""), parsed)
+    return parse(text)

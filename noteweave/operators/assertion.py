@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -10,10 +16,6 @@ from ..functions.scan import RuleSet
 from ..functions.spans import flat, piece
 
 CLAUSE = "struct<start:int,end:int,kind:string>"
-SECTION_CUE = r"(?imU)^[ \t]*\d+[\.\)][ \t]+tiền\s+sử\b|^[ \t]*-*[ \t]*tiền\s+sử\s+bệnh\s+hiện\s+tại\b"
-SECTION_HEADER = SECTION_CUE + r"|^tiền\s+sử\s+bệnh\s+(?=\s)(?!\S)"
-
-
 #: Cues by priority, as they are looked for.
 CUES = sorted(V.CUES, key=lambda c: -c[2])
 RULES = RuleSet(
@@ -49,7 +51,7 @@ def is_historical_section(text: Column) -> Column:
     """Whether a sentence opens a history section, at its start or after a line break.
     The first pattern that stands there decides; a numbered or bare header does not count."""
     low = F.regexp_replace(F.lower(text), r"(?U)^\s+", "")
-    header = F.rlike(low, F.lit(SECTION_HEADER))
+    header = F.rlike(low, F.lit(V.SECTION_HEADER))
     out = F.lit(False)
     for p in reversed(V.HISTORICAL_SECTIONS):
         hit = F.regexp_extract(low, f"(?sU)^(.*?)({p})", 2) != ""
@@ -126,76 +128,136 @@ def first_around(segments: Column, at: Column) -> Column:
     return F.get(F.filter(segments, lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(0))
 
 
-def assertions(text: Column, found: Column, all_cues: Column, marks: Column, all_sentences: Column) -> Column:
-    """found with is_negated, is_historical, is_family, confidence and cues_used added to each entity.
-
-    A cue governs an entity that it stands in front of in its clause; through an earlier
-    clause of the sentence; or, for cues of history, by the section that the sentence opens.
-    Facts about an entity are laid down in stages, so that the loop over cues only compares
-    numbers.
+KINDS = ("NEGATION", "HISTORICAL", "FAMILY")
+_HEADED = re.compile(V.SECTION_CUE.removeprefix("(?imU)"), re.IGNORECASE | re.MULTILINE)
+_HEADER = re.compile(V.SECTION_HEADER.removeprefix("(?imU)"), re.IGNORECASE | re.MULTILINE)
+_SECTIONS = [re.compile(p) for p in V.HISTORICAL_SECTIONS]
+
+
+class Note:
+    """The cues, conjunctions, sentences and clauses of one text, for verdicts on places in it."""
+
+    def __init__(self, text: str, compiled: tuple):
+        self.text = text
+        self.cues: dict[str, list[tuple[int, int, int]]] = {k: [] for k in KINDS}  # start, end, priority
+        self.marks: list[tuple[int, int, int]] = []  # start, end, number
+        cuts, first = set(), len(CUES)
+        delimiter = RULES.names["delimiter"]
+        for k, m in RULES.matches(text, compiled):
+            a, b = m.span()
+            if k < first:
+                self.cues[CUES[k][1]].append((a, k, b))
+            elif k < delimiter:
+                self.marks.append((a, k - first, b))
+            else:
+                cuts.add(b if k == delimiter else a)
+        self.marks = [(a, b, k) for a, k, b in sorted(self.marks)]
+        for kind, own in self.cues.items():
+            self.cues[kind] = [(a, b, CUES[k][2]) for a, k, b in sorted(own)]
+        kin = self.cues["FAMILY"]
+        self.cues["HISTORICAL"] = [c for c in self.cues["HISTORICAL"] if not _HEADED.search(text[max(0, c[0] - 20) : c[1] + 20])]
+        told = [a for a, b, _ in self.cues["HISTORICAL"] if text[a:b].strip(" ").removeprefix("có ").startswith("tiền sử")]
+        self.of_kin = any(0 < a - b <= 10 for a in told for _, b, _ in kin)
+        self.cut_at_end = len(text) in cuts
+        self.bounds = [0, *sorted(c for c in cuts if 0 < c < len(text)), len(text)]
+        self.sentences: dict[int, tuple[bool, list[tuple[int, int, str]]]] = {}
+
+    def sentence(self, at: int) -> tuple[bool, list[tuple[int, int, str]]]:
+        """Whether the sentence around a place opens a history section, and its clauses."""
+        k = bisect_right(self.bounds, at) - 1
+        if k not in self.sentences:
+            a, b = self.bounds[k], self.bounds[k + 1]
+            own, base = self.text[a:b], a
+            if b < len(self.text) or self.cut_at_end:
+                base += len(own) - len(own.lstrip(" \t\n"))
+                own = own.strip(" \t\n").rstrip(".!?")
+            places = [m - base for m, end, _ in self.marks if m >= base and end <= b]
+            self.sentences[k] = self._historical(own), self._clauses(own, a, places)
+        return self.sentences[k]
+
+    @staticmethod
+    def _historical(sentence: str) -> bool:
+        low = sentence.lower().lstrip()
+        for p in _SECTIONS:
+            hit = p.search(low)
+            if hit and (not hit.start() or low[hit.start() - 1] == "\n"):
+                return not _HEADER.search(low)
+        return False
+
+    @staticmethod
+    def _clauses(sentence: str, start: int, places: list[int]) -> list[tuple[int, int, str]]:
+        at, out = 0, []
+        for m in places:
+            if m > at:
+                out.append((start + at, start + at + len(sentence[at:m].rstrip(",;")), "contrast"))
+                rest = sentence[m:]
+                at = m + len(rest) - len(rest.lstrip(",;"))
+        if rest := sentence[at:]:
+            out.append((start + at, start + at + len(rest.rstrip(",;.")), "main"))
+        return out or [(start, start + len(sentence), "main")]
+
+    def verdict(self, at: int, end: int) -> tuple[bool, bool, bool, float, list[str]]:
+        flags = {k: False for k in KINDS}
+        if 0 <= at < len(self.text):
+            history, own = self.sentence(at)
+            low, high = next(((a, b) for a, b, _ in own if a <= at < b), (at, end))
+            ahead = {kind for _, b, kind in own if low < b <= at}
+            for kind in KINDS:
+                flags[kind] = any(
+                    "main" in ahead or (b <= at and (b > low or ("contrast" in ahead and b == low))) or (history and kind == "HISTORICAL" and not self._blocked(b, low, high, at))
+                    for _, b, _ in self.cues[kind]
+                )
+            flags["HISTORICAL"] &= not self.of_kin
+        sure, used = 1.0, []
+        for kind in KINDS:
+            if flags[kind]:
+                sure = min(sure, 0.7 + max(p for _, _, p in self.cues[kind]) / 100, 0.99)
+                used += dict.fromkeys(self.text[a:b] for a, b, _ in self.cues[kind])
+        return flags["NEGATION"], flags["HISTORICAL"], flags["FAMILY"], sure, used
+
+    def _blocked(self, cue_end: int, low: int, high: int, at: int) -> bool:
+        """Whether the first of some conjunction in the clause stands between cue and place."""
+        seen = set()
+        for a, b, number in self.marks:
+            if a >= low and b <= high and number not in seen:
+                seen.add(number)
+                if cue_end <= a < at:
+                    return True
+        return False
+
+
+FLAGS = "n int, start int, end int, text string, type string, confidence double, is_negated boolean, is_historical boolean, is_family boolean, sure double, cues_used array<string>"
+
+
+def judged(rows: DataFrame) -> DataFrame:
+    """doc_id, n (place in the row), start, end, text, type, confidence, is_negated,
+    is_historical, is_family, sure and cues_used of each entity.
+
+    rows: doc_id, text and found, an array of structs start, end, text, type, confidence; a
+    null array has none, and a null text no cues.  A cue governs an entity that it stands
+    in front of in its clause; through an earlier clause of the sentence; or, for cues of
+    history, by the section that the sentence opens.  One pass over a text finds its cues;
+    texts without entities are not looked at.
     """
-    headed = lambda c: F.rlike(piece(text, F.greatest(F.lit(0), c["start"] - 20), F.least(F.char_length(text), c["end"] + 20)), F.lit(SECTION_CUE))
-
-    def of_kind(k: str) -> Column:
-        own = F.filter(all_cues, lambda c: c["kind"] == k)
-        return F.filter(own, lambda c: ~headed(c)) if k == "HISTORICAL" else own
-
-    def with_sentence(x: Column) -> Column:
-        return F.struct(x.alias("x"), first_around(all_sentences, x["start"]).alias("s"))
-
-    def with_clause(y: Column) -> Column:
-        alone = F.struct(y["x"]["start"].alias("start"), y["x"]["end"].alias("end"), F.lit("main").alias("kind"))
-        return F.struct(y["x"], y["s"], F.coalesce(first_around(y["s"]["clauses"], y["x"]["start"]), alone).alias("c"))
-
-    def with_earlier(z: Column) -> Column:
-        at, c = z["x"]["start"], z["c"]
-        ahead = lambda kind: F.exists(z["s"]["clauses"], lambda o: (o["kind"] == kind) & (o["end"] <= at) & (o["end"] > c["start"]))
-        return F.struct(z["x"], z["s"]["historical"].alias("history"), z["s"].isNotNull().alias("known"), c, ahead("main").alias("main"), ahead("contrast").alias("contrast"))
-
-    staged = F.transform(F.transform(F.transform(found, with_sentence), with_clause), with_earlier)
-    kinds = {k: of_kind(k) for k in ("NEGATION", "HISTORICAL", "FAMILY")}
-    # A relative right before a cue of history makes it the relative's.
-    told = lambda c: F.rlike(F.btrim(c["text"]), F.lit("^(có )?tiền sử"))
-    kin = F.filter(all_cues, lambda c: c["kind"] == "FAMILY")
-    of_kin = F.exists(F.filter(kinds["HISTORICAL"], told), lambda c: F.exists(kin, lambda f: (c["start"] > f["end"]) & (c["start"] - f["end"] <= 10)))
-    facts = F.struct(
-        *(F.transform(own, lambda c: F.struct(c["end"], c["priority"])).alias(k) for k, own in kinds.items()),
-        *(F.array_distinct(F.transform(own, lambda c: c["text"])).alias(f"{k}_TEXTS") for k, own in kinds.items()),
-        *(F.array_max(F.transform(own, lambda c: c["priority"])).alias(f"{k}_TOP") for k, own in kinds.items()),
-        of_kin.alias("of_kin"),
-    )
-
-    def judged(z: Column, fact: Column) -> Column:
-        at, c = z["x"]["start"], z["c"]
-
-        def governs(cue: Column, history: bool) -> Column:
-            near = (cue["end"] <= at) & ((cue["end"] > c["start"]) | (z["contrast"] & (cue["end"] == c["start"])))
-            if not history:
-                return near | z["main"]
-            return near | z["main"] | (z["history"] & ~blocked(cue))
-
-        def blocked(cue: Column) -> Column:
-            # Only the first of each conjunction in the clause counts.
-            own = F.filter(marks, lambda m: (m["start"] >= c["start"]) & (m["end"] <= c["end"]))
-            first = lambda m: ~F.exists(own, lambda o: (o["number"] == m["number"]) & (o["start"] < m["start"]))
-            return F.exists(own, lambda m: (cue["end"] <= m["start"]) & (m["start"] < at) & first(m))
-
-        hit = lambda k: F.coalesce(z["known"] & F.exists(fact[k], lambda cue: governs(cue, k == "HISTORICAL")), F.lit(False))
-        return F.struct(z["x"], hit("NEGATION").alias("NEGATION"), (hit("HISTORICAL") & ~fact["of_kin"]).alias("HISTORICAL"), hit("FAMILY").alias("FAMILY"))
-
-    def final(z: Column, fact: Column) -> Column:
-        trust = lambda k: F.when(z[k], F.least(0.7 + fact[f"{k}_TOP"] / 100, F.lit(0.99))).otherwise(F.lit(1.0))
-        none = F.array().cast("array<string>")
-        used = flat([F.when(z[k], fact[f"{k}_TEXTS"]).otherwise(none) for k in kinds])
-        return F.struct(
-            z["x"],
-            z["NEGATION"].alias("is_negated"),
-            z["HISTORICAL"].alias("is_historical"),
-            z["FAMILY"].alias("is_family"),
-            F.least(*(trust(k) for k in kinds)).alias("confidence"),
-            used.alias("cues_used"),
-        )
-
-    # The facts about all cues are worked out once: one struct, bound by a one-element array.
-    bound = F.transform(F.array(facts), lambda fact: F.transform(F.transform(staged, lambda z: judged(z, fact)), lambda z: final(z, fact)))
-    return F.get(bound, F.lit(0))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(f.split(" ")[0] for f in FLAGS.split(", "))]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = RULES.compiled()
+        for batch in batches:
+            found = batch.column(2)
+            owner, fields = pc.list_parent_indices(found), found.flatten()
+            starts, ends, owners = fields.field(0).to_pylist(), fields.field(1).to_pylist(), owner.to_pylist()
+            places, made, last, note = [], [], None, None
+            for k, i in enumerate(owners):
+                if i != last:
+                    last, first, note = i, k, Note(batch.column(1)[i].as_py() or "", compiled)
+                places.append(k - first)
+                made.append(note.verdict(starts[k], ends[k]))
+            flags = list(zip(*made, strict=True)) if made else [()] * 5
+            types = [pa.bool_()] * 3 + [pa.float64(), pa.list_(pa.string())]
+            columns = [pa.array(places, pa.int32()), *fields.flatten(), *(pa.array(list(c), t) for c, t in zip(flags, types, strict=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *columns], names)
+
+    item = F.transform("found", lambda x: F.struct(x["start"], x["end"], x["text"], x["type"], x["confidence"].cast("double").alias("confidence")))
+    return rows.select("doc_id", "text", item.alias("found")).mapInArrow(task, f"doc_id {kind}, {FLAGS}")

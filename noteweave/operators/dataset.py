@@ -108,6 +108,87 @@ def split_groups(pairs: DataFrame, train: float = 0.8, dev: float = 0.1, seed: i
     return groups.join(parts, "group").select("id", "group", "split")
 
 
+def split_groups_by_type(pairs: DataFrame, train: float = 0.8, dev: float = 0.1, seed: int = 42) -> DataFrame:
+    """id, stratum, group, split of samples (id, stratum, value): within each stratum (null:
+    no_entity) samples that share a value stay together, and ratios count groups.  Samples
+    of different strata never form a group."""
+    own = pairs.withColumn("stratum", F.coalesce("stratum", F.lit("no_entity")))
+    groups = group_components(own.select("id", F.when(F.col("value").isNotNull(), F.struct("stratum", "value")).alias("value")))
+    named = own.select("id", "stratum").distinct().join(groups, "id")
+    parts = split(named.select("group", "stratum").distinct(), "group", F.col("stratum"), train, dev, seed)
+    return named.join(parts, ["group", "stratum"]).select("id", "stratum", "group", "split")
+
+
+def candidate_text(entries: DataFrame) -> DataFrame:
+    """code and text (code, names and description, joined by bars) of ICD entries."""
+    parts = F.filter(F.array("code", "name_en", "name_vi", "description"), lambda x: F.coalesce(x, F.lit("")) != "")
+    return entries.select("code", F.array_join(parts, " | ").alias("text"))
+
+
+def drug_candidate_text(entries: DataFrame) -> DataFrame:
+    """rxcui and text of drug entries: name, ingredient, strength, form and brand, with labels."""
+    labelled = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(label), c))
+    strength = F.when(F.col("strength_value").isNotNull(), F.concat_ws(" ", F.col("strength_value").cast("string"), F.coalesce("strength_unit", F.lit("mg"))))
+    parts = [
+        labelled("RxCUI: ", F.col("rxcui")),
+        labelled("", F.col("name_short")),
+        labelled("ingredient: ", F.col("ingredient")),
+        labelled("strength: ", strength),
+        labelled("dose form: ", F.col("dose_form")),
+        labelled("brand: ", F.col("brand")),
+    ]
+    return entries.select("rxcui", F.concat_ws(" | ", *parts).alias("text"))
+
+
+def _chosen(rows: DataFrame, n: int, order: Column, negative_type: str) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(order, "seq"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n).select("id", "candidate", F.lit(0.0).alias("label"), F.lit(negative_type).alias("negative_type"))
+
+
+def cross_encoder_icd(samples: DataFrame, entries: DataFrame, n: int = 4, others: bool = True, seed: int = 42) -> DataFrame:
+    """id, candidate, text, label, negative_type: training pairs for a cross-encoder.
+
+    samples: id, mention, positive; those whose code is unknown are left out.  entries: the
+    ICD knowledge base, fixed and small.  Negatives: of the 2 n entries of the same chapter
+    with the most words of the name in common, n by a seeded hash; up to n that have an
+    alias or synonym of the right entry that the mention holds; and, with others, n / 2 of
+    other chapters (one at least) by a seeded hash.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    terms = F.array_distinct(F.transform(F.concat("aliases", "synonyms"), lambda a: F.btrim(F.lower(a))))
+    known = entries.select("code", "seq", F.coalesce("chapter", F.lit("unknown")).alias("chapter"), words(F.col("name_en")).alias("words"), terms.alias("terms"))
+    gold = known.select(*(F.col(c).alias(f"g_{c}") for c in known.columns))
+    asked = samples.select("id", "mention", "positive").join(F.broadcast(gold), F.col("positive") == F.col("g_code"))
+    right = asked.select("id", F.col("positive").alias("candidate"), F.lit(1.0).alias("label"), F.lit("positive").alias("negative_type"))
+    paired = asked.join(F.broadcast(known.withColumnRenamed("code", "candidate")), F.col("candidate") != F.col("positive"))
+    chance = F.xxhash64(F.lit(seed), "id", "candidate")
+    alike = F.size(F.array_intersect("words", "g_words")) / F.greatest(F.size("words"), F.size("g_words"), F.lit(1))
+    near = paired.where("chapter = g_chapter")
+    first = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(alike), "seq"))
+    near = _chosen(near.withColumn("first", first).where(F.col("first") <= 2 * n), n, chance, "hard_same_chapter")
+    said = F.filter("g_terms", lambda t: (t != "") & F.contains(F.lower("mention"), t))
+    shared = F.array_min(F.transform(F.array_intersect(said, F.col("terms")), lambda t: F.array_position(said, t)))
+    named = _chosen(paired.withColumn("shared", shared).where("shared is not null"), n, F.col("shared"), "hard_same_alias")
+    out = right.unionByName(near).unionByName(named)
+    if others:
+        out = out.unionByName(_chosen(paired.where("chapter <> g_chapter"), max(1, n // 2), chance, "random"))
+    return out.join(F.broadcast(candidate_text(entries).withColumnRenamed("code", "candidate")), "candidate").select("id", "candidate", "text", "label", "negative_type")
+
+
+def cross_encoder_drugs(samples: DataFrame, entries: DataFrame, n: int = 4, seed: int = 42) -> DataFrame:
+    """As cross_encoder_icd, for drugs: negatives are the first n other entries of the same
+    ingredient, and n / 2 of other ingredients (one at least) by a seeded hash."""
+    known = entries.select("rxcui", "seq", F.btrim(F.lower(F.coalesce("ingredient", F.lit("")))).alias("ing"))
+    gold = known.select(F.col("rxcui").alias("g_code"), F.col("ing").alias("g_ing"))
+    asked = samples.select("id", "positive").join(F.broadcast(gold), F.col("positive") == F.col("g_code"))
+    right = asked.select("id", F.col("positive").alias("candidate"), F.lit(1.0).alias("label"), F.lit("positive").alias("negative_type"))
+    paired = asked.join(F.broadcast(known.withColumnRenamed("rxcui", "candidate")), F.col("candidate") != F.col("positive"))
+    same = _chosen(paired.where("ing = g_ing and ing <> ''"), n, F.col("seq"), "hard_same_ingredient")
+    other = _chosen(paired.where("ing <> g_ing"), max(1, n // 2), F.xxhash64(F.lit(seed), "id", "candidate"), "random")
+    texts = F.broadcast(drug_candidate_text(entries).withColumnRenamed("rxcui", "candidate"))
+    return right.unionByName(same).unionByName(other).join(texts, "candidate").select("id", "candidate", "text", "label", "negative_type")
+
+
 def profile(rows: DataFrame, *by: str, value: str = "n_chars") -> DataFrame:
     """Count, smallest, largest, mean, median and sample deviation (0 for one row) of a column."""
     v = F.col(value)
@@ -199,6 +280,30 @@ def with_pronoun(text: Column, seed: int, key: str) -> Column:
     return F.when(known | (text == ""), text).otherwise(F.concat(one, F.lit(" "), F.lower(F.substring(text, 1, 1)), F.substring(text, F.lit(2), F.char_length(text))))
 
 
+def diacritic_error(text: Column, rate: float, seed: int, key: str) -> Column:
+    """Letters with marks, each with probability rate, as another variant of theirs; which
+    ones is decided by hashes of key and place."""
+    variants = F.create_map(*(F.lit(x) for c, own in V.DIACRITIC_VARIANTS.items() for x in (c, "".join(o for o in own if o != c))))
+    hashed = lambda k, i: F.xxhash64(F.lit(seed + k), F.col(key), i)
+
+    def one(c: Column, i: Column) -> Column:
+        own = F.try_element_at(variants, c)
+        hit = F.pmod(hashed(0, i), F.lit(1_000_000)) < round(rate * 1_000_000)
+        other = F.substring(own, (F.pmod(hashed(1, i), F.char_length(own)) + 1).cast("int"), F.lit(1))
+        return F.when(own.isNotNull() & (own != "") & hit, other).otherwise(c)
+
+    return F.array_join(F.transform(F.split(text, ""), one), "")
+
+
+def paraphrase(text: Column, seed: int, key: str) -> Column:
+    """Known words, whatever their case, as one of their paraphrases, one word after the
+    other; a word is looked for as it is spelled."""
+    for k, (word, options) in enumerate(V.PARAPHRASES.items()):
+        other = F.get(F.array(*map(F.lit, options)), _pick(F.lit(len(options)), seed + k, key))
+        text = F.when(F.contains(text, F.lit(word)), F.regexp_replace(text, F.lit(f"(?iu){word}"), other)).otherwise(text)
+    return text
+
+
 def relocate(text: Column, entities: Column) -> Column:
     """Entities at the first place of their texts in a changed text; those it lacks go."""
     found = F.transform(entities, lambda e: F.struct((F.call_function("locate", e["text"], text) - 1).alias("start"), e["text"].alias("text"), e["type"].alias("type")))

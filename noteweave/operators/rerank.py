@@ -16,7 +16,6 @@ from .retrieve import jaccard, word_set
 #: Feature weights.
 ICD_WEIGHTS = {"lexical_similarity": 0.02, "exact_alias": 0.02, "context_include": 0.01, "specificity_penalty": -0.01, "parent_child_boost": 0.01, "retrieval_score": 0.94}
 DRUG_WEIGHTS = {"ingredient": 0.40, "strength_exact": 0.20, "strength_close": 0.10, "unit_match": 0.10, "dose_form": 0.10, "brand": 0.05, "retrieval_score": 0.05}
-CONFLICTING_FORMS = [("tablet", "injection"), ("injection", "tablet"), ("cream", "tablet"), ("tablet", "cream"), ("syrup", "tablet"), ("tablet", "syrup")]
 NONE = "array<string>"
 
 
@@ -28,7 +27,7 @@ def child_penalty(code: Column, parent: Column, has_detail: Column, description:
     """.25 for a child code when neither the mention nor a long description gives detail."""
     is_child = parent.isNotNull() & (parent != code)
     detailed = has_detail | F.coalesce(F.char_length(description) > 80, F.lit(False))
-    return F.when(is_child & ~detailed, 0.25).otherwise(0.0)
+    return F.when(is_child & ~detailed, V.CHILD_PENALTY).otherwise(0.0)
 
 
 def _within(terms: Column, text: Column) -> Column:
@@ -36,12 +35,12 @@ def _within(terms: Column, text: Column) -> Column:
 
 
 def exclude_penalty(text: Column, terms: Column) -> Column:
-    return F.when(F.size(_within(terms, text)) > 0, 1.0).otherwise(0.0)
+    return F.when(F.size(_within(terms, text)) > 0, V.EXCLUDE_PENALTY).otherwise(0.0)
 
 
 def include_boost(text: Column, terms: Column) -> Column:
     hits, n = F.size(_within(terms, text)), F.size(F.coalesce(terms, F.array().cast(NONE)))
-    return F.when(hits > 0, F.least(0.15 * hits / n + 0.05 * F.least(hits, F.lit(3)), F.lit(0.25))).otherwise(0.0)
+    return F.when(hits > 0, F.least(V.INCLUDE_SHARE * hits / n + V.INCLUDE_HIT * F.least(hits, F.lit(3)), F.lit(V.INCLUDE_MOST))).otherwise(0.0)
 
 
 def in_milligrams(value: Column, unit: Column) -> Column:
@@ -53,15 +52,17 @@ def strength_penalty(value: Column, unit: Column, other: Column, other_unit: Col
     """.5, .3 or .15 by how far strengths are apart once their units agree."""
     a, b = in_milligrams(value, unit), in_milligrams(other, other_unit)
     apart = F.abs(a - b) / F.greatest(a, b, F.lit(0.01))
-    graded = F.when(F.abs(a - b) < 0.01, 0.0).when(apart > 0.5, 0.5).when(apart > 0.2, 0.3).otherwise(0.15)
+    graded = F.when(F.abs(a - b) < 0.01, 0.0)
+    for least, penalty in V.STRENGTH_PENALTIES.items():
+        graded = graded.when(apart > least, penalty)
     return F.when(a.isNull() | b.isNull(), 0.0).otherwise(graded)
 
 
 def form_penalty(form: Column, other: Column) -> Column:
     clash = F.lit(False)
-    for a, b in CONFLICTING_FORMS:
+    for a, b in V.CONFLICTING_FORMS:
         clash = clash | ((_low(form) == a) & (_low(other) == b))
-    return F.when(F.coalesce(clash, F.lit(False)), 0.2).otherwise(0.0)
+    return F.when(F.coalesce(clash, F.lit(False)), V.FORM_PENALTY).otherwise(0.0)
 
 
 def _ranked(rows: DataFrame, features: dict[str, Column], weights: dict[str, float], total, k: int, code: str) -> DataFrame:
@@ -172,3 +173,18 @@ def rerank_drugs_by_dose(candidates: DataFrame, k: int = 10, cross_encoder: Colu
 def blend(candidates: DataFrame, model_score: Column, alpha: float = 0.5) -> DataFrame:
     """Blend a model's raw score, brought to (0, 1], with the retrieval score."""
     return candidates.withColumn("blended", alpha * (1 / (1 + F.abs(model_score - 3) / 3)) + (1 - alpha) * F.col("score"))
+
+
+def rerank_either(candidates: DataFrame, k: int = 10) -> dict[str, DataFrame]:
+    """Rerank candidates of both code systems by their rules: rows with an rxcui as drugs,
+    the others as diagnoses.  candidates: the columns of both, those of the other system
+    null.  A reranker by the name of each system that the columns allow."""
+    out = {}
+    if "rxcui" in candidates.columns:
+        out["drug"] = rerank_drugs_by_rules(candidates.where("rxcui is not null"), k)
+    if "code" in candidates.columns:
+        own = candidates.where("rxcui is null") if out else candidates
+        out["icd"] = rerank_icd(own, k)
+    if not out:
+        raise ValueError("candidates have neither rxcui nor code")
+    return out

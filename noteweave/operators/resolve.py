@@ -116,3 +116,21 @@ def floor_confidence(entities: DataFrame, floors: dict[str, float]) -> DataFrame
     for source, value in floors.items():
         floor = F.when(F.col("source") == source, value).otherwise(floor)
     return entities.withColumn("confidence", F.greatest("confidence", floor))
+
+
+def conflict_log(merged: DataFrame) -> DataFrame:
+    """doc_id, start, end, outcome, type, confidence and logged_at of every conflict."""
+    rows = merged.where("outcome like '%conflict'")
+    return rows.select("doc_id", "start", "end", "outcome", "type", "confidence", F.current_timestamp().alias("logged_at"))
+
+
+def union_once(sources: list[DataFrame]) -> DataFrame:
+    """Entities of several sources, each (doc_id, start, end, type) once: that of the first
+    source in the list, of one source the lowest seq."""
+    rows = None
+    for k, s in enumerate(sources):
+        own = s.withColumn("_place", F.lit(k))
+        rows = own if rows is None else rows.unionByName(own)
+    kept = [c for c in rows.columns if c not in ("doc_id", "start", "end", "type", "_place")]
+    first = rows.groupBy("doc_id", "start", "end", "type").agg(F.min_by(F.struct(*kept), F.struct("_place", "seq")).alias("_first"))
+    return first.select("doc_id", "start", "end", "type", *(F.col(f"_first.{c}") for c in kept))

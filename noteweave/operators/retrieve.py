@@ -85,13 +85,11 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b:
     queries: id and tokens; corpus: doc_id and tokens (arrays of strings).  Okapi weights;
     words in more than half of the documents get epsilon times the mean weight.  A word
     counts as often as the query has it.  Documents that share no word with a query do not
-    show up.  Word statistics are aggregated before they meet the postings of the few
-    words that queries ask for.
+    show up.  For the statistics of words only (word, 1) is shuffled, added up before;
+    postings are made for words that queries ask for, and no others.
     """
-    docs = corpus.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("word"))
-    tf = docs.groupBy("doc_id", "word", "length").agg(F.count("*").alias("tf"))
     size = corpus.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    df = corpus.select(F.explode(F.array_distinct("tokens")).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     one = size.select(F.struct("n", "mean").alias("s")).scalar()
     raw = F.log(one["n"] - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     idf = df.withColumn("raw", raw)
@@ -99,6 +97,9 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = 1.5, b:
     asked = queries.select("id", F.explode("tokens").alias("word")).groupBy("id", "word").agg(F.count("*").alias("times"))
     weights = idf.join(asked.select("word").distinct(), "word", "left_semi").withColumn("idf", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / one["mean"]))
+    words = asked.select("word").distinct()
+    docs = corpus.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("word"))
+    tf = docs.join(words, "word", "left_semi").groupBy("doc_id", "word", "length").agg(F.count("*").alias("tf"))
     hits = tf.join(weights.select("word", "idf"), "word").join(asked, "word").withColumn("part", part)
     scored = hits.groupBy("id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored, k, "id", "score", "doc_id")

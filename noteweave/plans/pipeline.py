@@ -7,8 +7,10 @@ partition.  Only distinct mentions travel, to meet the knowledge bases, and come
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field, fields
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions.lineage import cut, spread
 from ..functions.spans import flat, piece, resolve_spans, span
 from ..operators import assertion as A
 from ..operators import extract as X
-from ..operators import rerank, retrieve, validate
+from ..operators import metrics, rerank, resolve, retrieve, validate
 from ..sources import kb
 
 ENTITY = "struct<start:int,end:int,text:string,type:string,assertions:array<string>,candidates:array<string>>"
@@ -57,6 +59,15 @@ class Config:
         known = {f.name for f in fields(cls)}
         return cls(**{k: v for k, v in options.items() if k in known and v is not None})
 
+    @classmethod
+    def from_yaml(cls, path: str) -> Config:
+        """Options in a YAML file; a section named pipeline is taken if there is one."""
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            read = yaml.safe_load(f) or {}
+        return cls.from_dict(read.get("pipeline", read))
+
     @property
     def n_candidates(self) -> int:
         return min(self.max_candidates, self.top_k)
@@ -100,21 +111,17 @@ def resolved(rows: DataFrame, config: Config) -> DataFrame:
 
 def with_assertions(rows: DataFrame, config: Config) -> DataFrame:
     """Add assertions to each entity of `found` that may have them."""
-    text, m = F.coalesce("text", F.lit("")), F.col("_marks")
     if not config.assertions:
         return rows.withColumn("found", F.transform("found", lambda x: x.withField("assertions", F.array().cast("array<string>"))))
-    rows = rows.withColumn("_raw", A.RULES.scan(F.col("text")))
-    rows = rows.withColumns({"_cues": A.cues(F.col("_raw")), "_marks": A.conjunctions(F.col("_raw"))}).withColumn("_sentences", A.sentences(text, F.col("_raw"), m))
-    judged = A.assertions(text, F.col("found"), F.col("_cues"), m, F.col("_sentences"))
-    each = rows.select("doc_id", F.posexplode(judged).alias("n", "a")).withColumn("x", F.col("a.x"))
-    flags = [F.when(F.col(f"a.{c}"), name) for c, name in (("is_negated", "isNegated"), ("is_historical", "isHistorical"), ("is_family", "isFamily"))]
+    each = A.judged(rows)
+    flags = [F.when(F.col(c), name) for c, name in (("is_negated", "isNegated"), ("is_historical", "isHistorical"), ("is_family", "isFamily"))]
     held = F.filter(F.array(*flags), lambda f: f.isNotNull())
     if config.allowed_assertions is not None:
         allowed = F.array(*map(F.lit, config.allowed_assertions)) if config.allowed_assertions else F.array().cast("array<string>")
         held = F.array_intersect(held, allowed)
-    may = F.col("x.type").isin(validate.WITH_ASSERTIONS) & (F.col("a.confidence") >= config.min_assertion)
+    may = F.col("type").isin(validate.WITH_ASSERTIONS) & (F.col("sure") >= config.min_assertion)
     none = F.array().cast("array<string>")
-    return each.select("doc_id", "n", "x.*", F.when(may, held).otherwise(none).alias("assertions"))
+    return each.select("doc_id", "n", "start", "end", "text", "type", "confidence", F.when(may, held).otherwise(none).alias("assertions"))
 
 
 def link_icd(mentions: DataFrame, entries: DataFrame, config: Config) -> DataFrame:
@@ -127,7 +134,11 @@ def link_icd(mentions: DataFrame, entries: DataFrame, config: Config) -> DataFra
     corpus = corpus.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "norm"))), lambda x: x["norm"]), " ").alias("t"))
     corpus = corpus.select(F.col("code").alias("doc_id"), words(F.col("t")).alias("tokens"))
     queries = mentions.select("id", words(N.normalize(F.col("mention"))).alias("tokens"))
-    bm25 = retrieve.bm25(queries, corpus, 30).select("id", F.col("doc_id").alias("code"), F.lit("bm25").alias("source"), "rank", "score")
+    # Entries that share no word with a mention count with score 0, in their order; a knowledge base has few.
+    every = queries.where(F.size("tokens") > 0).select("id").join(F.broadcast(entries.select("code", "seq")), F.lit(True))
+    hits = retrieve.bm25(queries, corpus, 1_000_000).select("id", F.col("doc_id").alias("code"), "score")
+    scored = every.join(hits, ["id", "code"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    bm25 = retrieve.top_k(scored, 30, "id", "score", "seq").select("id", "code", F.lit("bm25").alias("source"), "rank", "score")
     found = exact.unionByName(near).unionByName(bm25)
     fuse = retrieve.fuse_ranks if config.merge == "rrf" else retrieve.fuse_weighted
     fused = fuse(found, "code", config.top_k, config.rrf_k) if config.merge == "rrf" else fuse(found, "code", config.top_k)
@@ -191,3 +202,65 @@ def process(docs: DataFrame, config: Config | None = None) -> DataFrame:
     done = docs.select("doc_id").join(grouped.select("doc_id", out.alias("entities")), "doc_id", "left")
     kind = "array<struct<text:string,position:array<int>,type:string,assertions:array<string>,candidates:array<string>>>"
     return done.select("doc_id", F.coalesce("entities", F.array().cast(kind)).alias("entities"))
+
+
+def ablation(docs: DataFrame, gold: DataFrame, configs: dict[str, Config]) -> DataFrame:
+    """config, tp, fp, fn, precision, recall, f1 of the entities that each configuration
+    finds in docs against gold (doc_id, text, start, end, type); one plan for all."""
+    key = ["doc_id", *metrics.KEY]
+    found = None
+    for name, config in configs.items():
+        own = entities(docs, config).select(F.lit(name).alias("config"), *key)
+        found = own if found is None else found.unionByName(own)
+    names = gold.sparkSession.createDataFrame([(n,) for n in configs], "config string")
+    return metrics.prf(gold.select(*key).join(F.broadcast(names), F.lit(True)), found, key=["config", *key], by=["config"])
+
+
+def baseline_entities(docs: DataFrame) -> DataFrame:
+    """doc_id, start, end, text, type, confidence of the baseline extractor: lab tests and
+    results (.85) and drugs (.90), overlaps kept."""
+    text, m = F.coalesce("text", F.lit("")), F.col("_m")
+    rows = docs.select("doc_id", "text", X.RULES.scan(F.col("text")).alias("_m")).withColumn("_tests", X.lab_tests(m))
+    part = lambda found, kind, sure: F.transform(found, lambda x: span(x["start"], x["end"], x["text"], kind, sure, "regex"))
+    spans = flat(
+        [
+            part(F.col("_tests"), "TÊN_XÉT_NGHIỆM", 0.85),
+            part(X.lab_results(text, m, F.col("_tests")), "KẾT_QUẢ_XÉT_NGHIỆM", 0.85),
+            part(X.drugs(text, m), "THUỐC", 0.90),
+        ]
+    )
+    return rows.select("doc_id", F.explode(spans).alias("e")).select("doc_id", "e.start", "e.end", "e.text", "e.type", "e.confidence")
+
+
+def with_extractors(docs: DataFrame, extractors: Mapping[str, Callable[[str], list[dict]]], floors: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, seq, start, end, text, type, confidence, source of user-defined extractors.
+
+    An extractor takes a text and returns dicts of start, end, type and, optionally, text
+    and confidence (0.5 without one); one that fails on a text finds nothing there.  A null
+    text has nothing.  Confidences below a source's floor are raised to it.
+    """
+    named = dict(extractors)
+    schema = "doc_id string, seq long, start int, end int, text string, type string, confidence double, source string"
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.string()]
+        names = [f.split(" ")[0] for f in schema.split(", ")]
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
+                n = 0
+                for source, extract in named.items() if text is not None else ():
+                    try:
+                        found = extract(text)
+                    except Exception:  # the contract: a failing extractor finds nothing
+                        found = []
+                    for e in found:
+                        a, b = int(e["start"]), int(e["end"])
+                        rows.append((doc_id, n, a, b, e.get("text", text[a:b]), e["type"], float(e.get("confidence", 0.5)), source))
+                        n += 1
+            columns = zip(*rows, strict=True) if rows else ((),) * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    found = docs.select(F.col("doc_id").cast("string"), "text").mapInArrow(task, schema)
+    found = found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
+    return resolve.floor_confidence(found, floors) if floors else found

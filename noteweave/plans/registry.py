@@ -1,7 +1,6 @@
 """Registered queries on the reference operators, and DuckDB SQL for those SQL can express.
 
-Queries named in FIXTURES run on small inline tables, which their SQL repeats as VALUES;
-the others run on whole tables.
+All of them run on whole tables.  `table_queries` adds those of clinical operators.
 """
 
 from __future__ import annotations
@@ -239,25 +238,6 @@ def _scanned(spark, sf_dir):
     return spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "text", extract.RULES.scan(F.col("text")).alias("m"))
 
 
-@query()
-def lab_results(spark, sf_dir):
-    rows = _scanned(spark, sf_dir).withColumn("tests", extract.lab_tests(F.col("m")))
-    return rows.select("doc_id", F.explode(extract.lab_results(F.col("text"), F.col("m"), F.col("tests"))).alias("r")).select("doc_id", "r.*")
-
-
-@query()
-def lab_panels(spark, sf_dir):
-    rows = _scanned(spark, sf_dir).withColumn("tests", extract.lab_tests(F.col("m")))
-    rows = rows.withColumn("results", extract.lab_results(F.col("text"), F.col("m"), F.col("tests")))
-    each = rows.select("doc_id", F.explode(extract.lab_panel(F.col("tests"), F.col("results"))).alias("p"))
-    return each.select("doc_id", "p.normalized_name", "p.result.start", "p.result.value")
-
-
-@query()
-def drug_mentions(spark, sf_dir):
-    return _scanned(spark, sf_dir).select("doc_id", F.explode(extract.drugs(F.col("text"), F.col("m"))).alias("d")).select("doc_id", "d.*")
-
-
 @query()
 def disease_mentions(spark, sf_dir):
     return _scanned(spark, sf_dir).select("doc_id", F.explode(extract.diseases(F.col("text"), F.col("m"))).alias("d")).select("doc_id", "d.*")
@@ -366,139 +346,13 @@ def kb_ancestors(spark, sf_dir):
     return retrieve.ancestors(kb.icd(spark, base=True))
 
 
-MENTIONS = [(1, "viêm phổi"), (2, "hypertension"), (3, "Gout"), (4, "đái tháo đường"), (5, "ulcer"), (6, "GERD"), (7, "suy  tim"), (8, "no such thing")]
-NAMES = values([(k, e["code"], e.get("name_en"), e.get("synonyms") or [""]) for k, e in enumerate(K.ICD)], "seq, code, name, others")
-
-
-@query(
-    f"""WITH e AS (SELECT seq, code, lower(name) AS name, list_transform(others, lambda x: lower(x)) AS others FROM {NAMES}),
-    m AS (SELECT id, trim(regexp_replace(lower(mention), '\\s+', ' ', 'g')) AS q FROM {values(MENTIONS, "id, mention")}),
-    f AS (SELECT id, code, seq, CASE WHEN name = q THEN 0 WHEN list_contains(others, q) THEN 1 WHEN starts_with(name, q) THEN 2
-      WHEN contains(name, q) OR len(list_filter(others, lambda x: contains(x, q))) > 0 THEN 3 END AS tier FROM m, e)
-    SELECT id, code, tier, row_number() OVER (PARTITION BY id ORDER BY tier, seq) AS rank FROM f WHERE tier IS NOT NULL QUALIFY rank <= 10"""
-)
-def kb_search_tiers(spark, sf_dir):
-    found = retrieve.search_tiers(spark.createDataFrame(MENTIONS, "id int, mention string"), kb.icd(spark))
-    return found.withColumn("rank", F.col("rank").cast("long"))
-
-
-@query()
-def kb_exact_alias(spark, sf_dir):
-    return retrieve.exact_icd(spark.createDataFrame(MENTIONS, "id int, mention string"), kb.icd(spark))
-
-
-DRUGS = [(1, "Aspirin 81mg tablet"), (2, "Metformin"), (3, "paracetamol 500 mg"), (4, "Panadol"), (5, "amlodipine 5 mg"), (6, "Ceftriaxone 1g")]
-
-
-@query()
-def drug_structured(spark, sf_dir):
-    return retrieve.structured(spark.createDataFrame(DRUGS, "id int, mention string"), kb.drugs(spark)).withColumn("score", F.round("score", 4))
-
-
-@query()
-def fuzzy_topk(spark, sf_dir):
-    texts = kb.icd_texts(kb.icd(spark)).withColumn("norm", retrieve.N.for_fuzzy(F.col("text")))
-    return retrieve.fuzzy(spark.createDataFrame(MENTIONS, "id int, mention string"), texts, "code", 5).withColumn("score", F.round("score", 4))
-
-
-RANKED = [
-    (1, "A", "exact", 1, 1.0), (1, "A", "fuzzy", 1, 95.0), (1, "B", "fuzzy", 2, 80.0), (1, "B", "bm25", 1, 12.0), (1, "C", "bm25", 2, 3.5),
-    (2, "B", "fuzzy", 1, 66.0), (2, "C", "dense", 1, 0.8), (2, "A", "dense", 2, 0.7), (2, "D", "other", 1, 0.5),
-]
-PARTS = f"""p AS (SELECT id, code, source, rank, CASE source WHEN 'fuzzy' THEN least(score / 100, 1) WHEN 'bm25' THEN least(score / 20, 1) WHEN 'dense' THEN least(score, 1) ELSE score END AS norm,
-  CASE source WHEN 'exact' THEN 1.0 WHEN 'normalized' THEN 0.95 WHEN 'alias' THEN 0.9 WHEN 'fuzzy' THEN 0.8 WHEN 'bm25' THEN 0.7 WHEN 'dense' THEN 0.75 ELSE 0.5 END AS weight
-  FROM {values(RANKED, "id, code, source, rank, score")})"""
-FUSED = "SELECT id, code, round(score::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS rank FROM f"
-
-
-def _ranked(spark):
-    return spark.createDataFrame(RANKED, "id int, code string, source string, rank int, score double")
-
-
-@query(f"WITH {PARTS}, f AS (SELECT id, code, sum(1.0::DOUBLE / (60 + rank) * weight * (0.5 + 0.5 * norm)) AS score FROM p GROUP BY 1, 2) {FUSED}")
-def rrf_fuse(spark, sf_dir):
-    return retrieve.fuse_ranks(_ranked(spark), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
-
-
-@query(f"WITH {PARTS}, f AS (SELECT id, code, sum(weight * norm) AS score FROM p GROUP BY 1, 2) {FUSED}")
-def weighted_fuse(spark, sf_dir):
-    return retrieve.fuse_weighted(_ranked(spark), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
-
-
 # --- resolution, metrics, tokens ---------------------------------------------------------
 
-SPANS = [
-    (1, 1, 12, 19, "TRIỆU_CHỨNG", 0.9, "regex"), (1, 2, 16, 24, "TRIỆU_CHỨNG", 0.8, "regex"), (1, 3, 12, 17, "TRIỆU_CHỨNG", 0.7, "dictionary"),
-    (2, 1, 0, 10, "TRIỆU_CHỨNG", 0.9, "regex"), (2, 2, 0, 10, "CHẨN_ĐOÁN", 0.7, "dictionary"), (2, 3, 30, 35, "THUỐC", 0.6, "regex"),
-    (3, 1, 0, 16, "KẾT_QUẢ_XÉT_NGHIỆM", 0.9, "regex"), (3, 2, 8, 11, "KẾT_QUẢ_XÉT_NGHIỆM", 0.7, "regex"), (3, 3, 8, 11, "KẾT_QUẢ_XÉT_NGHIỆM", 0.8, "dictionary"),
-    (4, 1, 5, 9, "THUỐC", 0.5, "regex"), (4, 2, 5, 9, "THUỐC", 0.7, "dictionary"),
-]
-SPAN_NAMES = "doc_id, seq, start, end_, type, confidence, source"
-
-
-def _spans(spark):
-    return spark.createDataFrame([(*r, None) for r in SPANS], "doc_id int, seq long, start int, end int, type string, confidence double, source string, section string")
-
 
-@query(
-    f"""WITH v AS (SELECT * FROM {values(SPANS, SPAN_NAMES)}) SELECT a.doc_id, a.seq AS a, b.seq AS b,
-    round(CAST(least(a.end_, b.end_) - greatest(a.start, b.start) AS DOUBLE) / (greatest(a.end_, b.end_) - least(a.start, b.start)), 6) AS iou
-    FROM v a JOIN v b ON a.doc_id = b.doc_id AND a.seq < b.seq AND a.start < b.end_ AND b.start < a.end_"""
-)
-def span_overlap_pairs(spark, sf_dir):
-    spans = _spans(spark)
-    item = spans.select("doc_id", "seq", F.struct("start", "end").alias("s"))
-    pairs = validate.overlap_pairs(spans).join(item.select("doc_id", F.col("seq").alias("a"), F.col("s").alias("x")), ["doc_id", "a"])
-    pairs = pairs.join(item.select("doc_id", F.col("seq").alias("b"), F.col("s").alias("y")), ["doc_id", "b"])
-    return pairs.select("doc_id", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.round(hull_iou(F.col("x"), F.col("y")), 6).alias("iou"))
-
-
-@query(
-    f"""SELECT doc_id, start, end_ AS "end", CASE WHEN count(DISTINCT type) > 1 THEN arg_max(type, confidence) ELSE any_value(type) END AS type,
-    round(CAST(CASE WHEN count(DISTINCT type) > 1 THEN max(confidence) WHEN count(*) > 1 THEN least(avg(confidence) + 0.1, 1) ELSE avg(confidence) END AS DOUBLE), 6) AS confidence,
-    string_agg(DISTINCT source, ',' ORDER BY source) AS source FROM {values(SPANS, SPAN_NAMES)} GROUP BY doc_id, start, end_"""
-)
-def merge_same_span(spark, sf_dir):
-    merged = resolve.merge_same_spans(_spans(spark))
-    return merged.select("doc_id", "start", "end", "type", F.round("confidence", 6).alias("confidence"), "source")
-
-
-@query("SELECT * FROM " + values([(1, 12, 19, "TRIỆU_CHỨNG"), (2, 0, 10, "TRIỆU_CHỨNG"), (2, 30, 35, "THUỐC"), (3, 0, 16, "KẾT_QUẢ_XÉT_NGHIỆM"), (4, 5, 9, "THUỐC")], 'doc_id, start, "end", type'))
-def entity_resolution(spark, sf_dir):
-    return resolve.drop_overlaps(resolve.merge_same_spans(_spans(spark))).select("doc_id", "start", "end", "type")
-
-
-GOLD = [(1, "ho", 0, 2, "TRIỆU_CHỨNG"), (1, "aspirin", 5, 12, "THUỐC"), (2, "hen", 3, 6, "CHẨN_ĐOÁN"), (2, "sốt", 9, 12, "TRIỆU_CHỨNG"), (3, "ho", 4, 6, "TRIỆU_CHỨNG")]
-FOUND = [(1, "ho", 0, 2, "TRIỆU_CHỨNG"), (1, "aspirin", 5, 12, "CHẨN_ĐOÁN"), (2, "hen", 3, 6, "CHẨN_ĐOÁN"), (2, "sốt", 8, 11, "TRIỆU_CHỨNG"), (3, "đau", 7, 10, "TRIỆU_CHỨNG")]
-PAIR = "doc_id, text, start, end_, type"
-BOTH = f"g AS (SELECT DISTINCT * FROM {values(GOLD, PAIR)}), p AS (SELECT DISTINCT * FROM {values(FOUND, PAIR)}), m AS (SELECT coalesce(g.type, p.type) AS type, g.doc_id IS NOT NULL AS ig, p.doc_id IS NOT NULL AS ip FROM g FULL JOIN p ON (g.doc_id, g.text, g.start, g.end_, g.type) = (p.doc_id, p.text, p.start, p.end_, p.type))"
 COUNTS = "count(*) FILTER (ig AND ip) AS tp, count(*) FILTER (NOT ig) AS fp, count(*) FILTER (NOT ip) AS fn"
 RATIOS = "round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall, round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 4)::DOUBLE AS f1"
 
 
-def _pair(spark):
-    schema = "doc_id int, text string, start int, end int, type string"
-    return spark.createDataFrame(GOLD, schema), spark.createDataFrame(FOUND, schema)
-
-
-@query(f"WITH {BOTH}, c AS (SELECT {COUNTS} FROM m) SELECT *, {RATIOS} FROM c")
-def prf_overall(spark, sf_dir):
-    return metrics.prf(*_pair(spark), key=["doc_id", *metrics.KEY])
-
-
-@query(f"WITH {BOTH}, c AS (SELECT type, {COUNTS} FROM m GROUP BY type) SELECT *, {RATIOS} FROM c")
-def prf_per_class(spark, sf_dir):
-    return metrics.prf(*_pair(spark), key=["doc_id", *metrics.KEY], by=["type"])
-
-
-@query(
-    "SELECT * FROM "
-    + values([(1, "aspirin", "wrong_type"), (2, "sốt", "wrong_boundary"), (3, "ho", "missed"), (3, "đau", "false_positive")], "doc_id, text, error")
-)
-def error_taxonomy(spark, sf_dir):
-    return metrics.error_kinds(*_pair(spark)).select("doc_id", "text", "error")
-
-
 # The operators above on spans and ranks that whole tables give.
 
 #: Words with a digit, and numbers: spans that overlap.
@@ -572,35 +426,6 @@ def weighted_fuse_tables(spark, sf_dir):
     return retrieve.fuse_weighted(_table_ranks(spark, sf_dir), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
 
 
-TOKENS = [
-    (1, [0, 4, 9, 0], [(0, 0), (0, 4), (5, 10), (11, 12)]),
-    (2, [1, 6, 9, 1, 5], [(0, 2), (2, 4), (5, 7), (8, 9), (10, 12)]),
-    (3, [6, 0, 2], [(0, 2), (3, 4), (5, 9)]),
-]
-
-
-def _tokens(spark):
-    return spark.createDataFrame(TOKENS, "id int, pred array<int>, offsets array<struct<start:int,end:int>>")
-
-
-@query(
-    "SELECT * FROM "
-    + values(
-        [(1, 0, 10, "CHẨN_ĐOÁN"), (2, 0, 4, "TRIỆU_CHỨNG"), (2, 5, 7, "CHẨN_ĐOÁN"), (2, 8, 9, "TRIỆU_CHỨNG"), (2, 10, 12, "THUỐC"), (3, 5, 9, "TÊN_XÉT_NGHIỆM")],
-        'id, start, "end", type',
-    )
-)
-def bio_decode(spark, sf_dir):
-    rows = _tokens(spark).select("id", F.explode(tokens.decode(F.col("pred"), F.col("offsets"))).alias("e"))
-    return rows.select("id", "e.start", "e.end", "e.type")
-
-
-@query("SELECT * FROM " + values([(1, "-100,4,9,0"), (2, "1,6,4,1,5"), (3, "0,0,2")], "id, labels"))
-def bio_align(spark, sf_dir):
-    rows = _tokens(spark).withColumn("entities", tokens.decode(F.col("pred"), F.col("offsets")))
-    return rows.select("id", F.array_join(tokens.align(F.col("offsets"), F.col("entities")).cast("array<string>"), ",").alias("labels"))
-
-
 @query()
 def run_statistics(spark, sf_dir):
     return io.run_statistics(pipeline.process(documents(spark, sf_dir), pipeline.Config(link_icd=False, link_drugs=False)))

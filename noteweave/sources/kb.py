@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,24 @@ def icd_texts(entries: DataFrame) -> DataFrame:
 def drug_texts(entries: DataFrame) -> DataFrame:
     texts = F.concat(F.array("name", "name_short", "ingredient"), "synonyms", F.array("brand"))
     return entries.select("rxcui", "seq", F.posexplode(F.filter(texts, lambda t: F.coalesce(t, F.lit("")) != "")).alias("pos", "text"))
+
+
+def save(entries: DataFrame, path: str) -> None:
+    """Write a knowledge base as one JSON array, which icd() and drugs() read at that path;
+    entries keep their order, missing fields are left out."""
+    own = F.struct(*(c for c in entries.columns if c != "seq"))
+    rows = F.array_sort(F.collect_list(F.struct("seq", own.alias("entry"))))  # a knowledge base: few rows
+    whole = entries.agg(F.transform(rows, lambda x: x["entry"]).alias("rows"))
+    whole.select(F.to_json("rows").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def cached(entries: DataFrame, path: str, name: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """build(entries), written as Parquet under path the first time and read again as long
+    as the entries are the same: the folder is named by the name and a digest of all rows."""
+    spark = entries.sparkSession
+    digest = entries.agg(F.md5(F.concat_ws("", F.array_sort(F.collect_list(F.md5(F.to_json(F.struct("*"))))))).alias("d")).first()["d"]  # a knowledge base: few rows
+    folder = f"{path.rstrip('/')}/{name}-{digest}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        build(entries).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(folder)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from noteweave.functions import normalize, spans
 from noteweave.functions.fixed_values import CUES, DISEASE_KEYWORDS, LAB_TEST_NAMES
 from noteweave.operators import dataset, extract, metrics, rerank, resolve, retrieve, tokens, validate
-from noteweave.plans import pipeline, registry
+from noteweave.plans import pipeline, registry, table_queries  # noqa: F401
 from noteweave.sources import io, kb, templates
 from noteweave.streaming import notes
 
