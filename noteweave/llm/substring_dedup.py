@@ -24,6 +24,7 @@ passage which a third of all documents share costs a shard one entry for each bl
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,7 @@ SHARD_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
 _SHARED = 0xFFFFFFFF
+SALTS = 32
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -65,13 +67,13 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """hash, text number, start (in raw) and number of windows of each segment, and the
-    rolling hash of raw."""
+    """hash, text number, start (in raw) and number of windows of each segment.  Equal
+    windows have equal hashes; different ones may, which only makes more to compare."""
     rolling = RollingHash(_BYTE_VALUE[raw])
     none = np.zeros(0, np.int64)
     n = len(raw) - window + 1
     if n <= 0:
-        return none.astype(np.uint64), none, none, none, rolling
+        return none.astype(np.uint64), none, none, none
     at = np.arange(len(raw) - gram + 1)
     low = sliding_min(rolling.slices(at, at + gram), window - gram + 1)
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
@@ -80,7 +82,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     new = np.ones(len(low), bool)
     new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
     first = np.flatnonzero(new)
-    return low[first], owner[first], inside[first], np.diff(np.append(first, len(low))), rolling
+    return low[first], owner[first], inside[first], np.diff(np.append(first, len(low)))
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -236,14 +238,21 @@ def _blocks(batches: Iterator[pa.RecordBatch], text_column: int) -> Iterator[tup
 
 
 def _cut(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Iterator[tuple]:
-    """segments() of chunks of texts: text number, start in the text, hash, windows, hash
-    of the segment's bytes, start in raw."""
+    """segments() of chunks of texts: text number, start in the text, hash, windows, start
+    in raw."""
     for a, b in runs_of(np.diff(offsets), CHUNK_BYTES):
         lo = int(offsets[a])
-        h, owner, start, count, rolling = segments(raw[lo : offsets[b]], offsets[a : b + 1] - lo, window, gram)
+        h, owner, start, count = segments(raw[lo : offsets[b]], offsets[a : b + 1] - lo, window, gram)
         if len(h):
-            whole = rolling.slices(start, start + count + window - 1)
-            yield owner + a, start - (offsets[owner + a] - lo), h, count, whole, start + lo
+            yield owner + a, start - (offsets[owner + a] - lo), h, count, start + lo
+
+
+def _same(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A number for each segment of raw, equal where the bytes are (by cryptographic
+    digests of 128 bits)."""
+    data = raw.tobytes()
+    digests = b"".join([blake2b(data[a : a + n], digest_size=16).digest() for a, n in zip(at.tolist(), size.tolist(), strict=True)])
+    return np.unique(np.frombuffer(digests, np.dtype((np.void, 16))), return_inverse=True)[1].reshape(-1)
 
 
 def _ordered_groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -254,6 +263,12 @@ def _ordered_groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray,
     return order, heads, np.diff(np.append(heads, len(f)))
 
 
+def _runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """value, begin and end of each run of equal values."""
+    heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else ordered
+    return zip(ordered[heads].tolist(), heads.tolist(), np.append(heads[1:], len(ordered)).tolist(), strict=len(heads) > 0)
+
+
 def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
     """doc_id and start of segments whose hash more than one document has."""
     names = ["bucket", "hashes", "ids", "starts"]
@@ -281,13 +296,10 @@ def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataF
             send[heads[shared]] = True  # one entry stands for all of the block
             place = np.where(here, np.uint32(_SHARED), start)[send]
             sent, sent_doc = h[send], doc[send]
-            edges = np.searchsorted(sent >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
             rows = []
-            for k in range(1 << bits):
-                x, y = edges[k], edges[k + 1]
-                if x < y:
-                    steps = np.diff(sent[x:y], prepend=np.uint64(0))
-                    rows.append((k, squeeze(steps), squeeze(sent_doc[x:y]), squeeze(place[x:y])))
+            for k, x, y in _runs((sent >> np.uint64(64 - bits)).astype(np.int64)):
+                steps = np.diff(sent[x:y], prepend=np.uint64(0))
+                rows.append((k, squeeze(steps), squeeze(sent_doc[x:y]), squeeze(place[x:y])))
             if here.any():
                 turn += 1
                 rows.append((int(h[0] ^ np.uint64(turn)) % (1 << bits), b"", squeeze(doc[here]), squeeze(start[here])))
@@ -339,11 +351,11 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
             got = list(_cut(raw, offsets, window, gram))
             if not got:
                 continue
-            owner, start, h, count, whole, at = (np.concatenate([g[k] for g in got]) for k in range(6))
+            owner, start, h, count, at = (np.concatenate([g[k] for g in got]) for k in range(5))
             mine = np.isin(at, wanted)
-            owner, start, h, count, whole, at = (x[mine] for x in (owner, start, h, count, whole, at))
+            owner, start, h, count, at = (x[mine] for x in (owner, start, h, count, at))
             doc = ids[owner]
-            order, heads, sizes = _ordered_groups(whole, doc)
+            order, heads, sizes = _ordered_groups(_same(raw, at, count + window - 1), doc)
             later = np.zeros(len(doc), bool)
             later[order] = doc[order] > np.repeat(doc[order][heads], sizes)
             size, row = count + window - 1, keys[owner]
@@ -352,8 +364,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
             for kind, pick in ((0, np.flatnonzero(~later)), (1, np.flatnonzero(later))):
                 if kind == 0:
                     pick = pick[np.argsort(bucket[pick], kind="stable")]
-                    edges = np.searchsorted(bucket[pick], np.arange((1 << bits) + 1))
-                    groups = [(k, pick[edges[k] : edges[k + 1]]) for k in range(1 << bits) if edges[k] < edges[k + 1]]
+                    groups = [(k, pick[x:y]) for k, x, y in _runs(bucket[pick])]
                 else:
                     turn += 1
                     groups = [((turn * 7919 + int(ids[0] & 0xFFFF)) % (1 << bits), pick)] if len(pick) else []
@@ -380,8 +391,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
         out = [(done_doc, done_row, done_start.astype(np.int64), done_start.astype(np.int64) + done_size.astype(np.int64))]
         if len(size):
             at = np.cumsum(size) - size
-            whole = RollingHash(_BYTE_VALUE[raw]).slices(at, at + size)
-            order, heads, n = _ordered_groups(whole, doc)
+            order, heads, n = _ordered_groups(_same(raw, at, size), doc)
             least = np.zeros(len(doc), np.int64)
             least[order] = np.repeat(doc[order][heads], n)
             later = doc > least
@@ -426,14 +436,17 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     order) and kept (the bytes that stay, end to end).
     """
     partitions = shuffle_partitions(docs.sparkSession)
-    bits = max(6, min(16, (32 * partitions - 1).bit_length()))
+    bits = max(6, min(31, (32 * partitions - 1).bit_length()))
     text = text_bytes()
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row"))
     # 1. Exact copies.
     keyed = rows.where("doc_id is not null").select("doc_id", "row", F.xxhash64(F.lit(1), "text").alias("other"), F.octet_length("text").alias("size"))
     keyed = keyed.where(F.col("size") >= window)
     firsts = keyed.groupBy("row", "other", "size").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = keyed.join(firsts, ["row", "other", "size"]).where("doc_id > first").select("doc_id", "row", "size").distinct()
+    # A group of copies may hold a third of all rows: each text's row meets them in SALTS places.
+    firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    copies = keyed.join(firsts, ["row", "other", "size", "salt"]).where("doc_id > first").select("doc_id", "row", "size").distinct()
     copies = materialize(copies)
     small = copies.count() <= BROADCAST_ROWS
     held = copies.select("doc_id", "row")

@@ -11,7 +11,7 @@ import xxhash
 from noteweave.llm import components as cc
 from noteweave.llm import cover_tree, queries, simhash, substring_dedup
 
-from .helpers import LOWER, PASSAGE, components, edge_docs, edge_rows, words
+from .helpers import LOWER, PASSAGE, components, edge_docs, edge_rows, thue_morse, words
 
 
 def plain_print(text, width):
@@ -203,6 +203,14 @@ def test_removal_edge_cases(spark, monkeypatch):
     assert substring_dedup.remove_repeats(edge_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_removal_of_texts_with_one_hash(spark, n):
+    a, b = thue_morse(n, "a", "b")
+    rows = [(1, a), (2, b), (3, f"x{a}y{b}"), (4, b), (5, f"{b}{a}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert removal_rows(substring_dedup.remove_repeats(docs)) == collections.Counter(plain_removal(rows))
+
+
 def test_removal_query(spark, sf_dir):
     rows = [tuple(r) for r in queries.table(spark, sf_dir, "documents").select("doc_id", "text").collect()]
     want = {(d, n, sum(e[1::2]) - sum(e[::2]), len(e) // 2, hashlib.sha256(k).hexdigest()) for d, n, e, k in plain_removal(rows)}
