@@ -280,9 +280,13 @@ def _words(text):
     SELECT id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, doc_id) AS rank FROM c QUALIFY rank <= 5"""
 )
 def bm25_topk(spark, sf_dir):
+    return _bm25_ranks(spark, sf_dir).select("id", "doc_id", F.round("score", 4).alias("score"), F.expr(LONG_RANK))
+
+
+def _bm25_ranks(spark, sf_dir):
     docs = documents(spark, sf_dir).where("text is not null").select("doc_id", _words("text").alias("tokens"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), _words("text").alias("tokens"))
-    return retrieve.bm25(asked, docs, 5).select("id", "doc_id", F.round("score", 4).alias("score"), F.expr(LONG_RANK))
+    return retrieve.bm25(asked, docs, 5)
 
 
 TOP = """c AS (SELECT q.vec_id AS id, v.vec_id, q.label AS gold, v.label, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
@@ -401,17 +405,19 @@ def prf_per_class_documents(spark, sf_dir):
 def _table_ranks(spark, sf_dir):
     """The five best documents by BM25 for each benchmark item, and the 20 nearest vectors
     for each vec_id that is an item_id; a doc_id and an equal vec_id are one code."""
-    lexical = bm25_topk(spark, sf_dir).select("id", F.col("doc_id").alias("code"), F.lit("bm25").alias("source"), "rank", "score")
+    lexical = _bm25_ranks(spark, sf_dir).select("id", F.col("doc_id").alias("code"), F.lit("bm25").alias("source"), F.expr(LONG_RANK), "score")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
     asked = vectors.join(items, "vec_id", "left_semi").select(F.col("vec_id").alias("id"), F.col("v").alias("q"))
-    near = retrieve.dense(asked, vectors, 20).select("id", F.col("vec_id").alias("code"), F.lit("dense").alias("source"), "rank", F.round("score", 6).alias("score"))
+    near = retrieve.dense(asked, vectors, 20).select("id", F.col("vec_id").alias("code"), F.lit("dense").alias("source"), "rank", F.round("score", 9).alias("score"))
     return lexical.unionByName(near)
 
 
-TABLE_RANKS = f"""b AS ({ORACLE_SQL["bm25_topk"]}), dn AS (SELECT q.vec_id AS id, v.vec_id AS code, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
+#: Scores are rounded once, at the end, and coarsely: weights of few digits times scores of
+#: few digits often end in the 5 that engines round differently.
+TABLE_RANKS = f"""b AS ({ORACLE_SQL["bm25_topk"].replace("round(score, 4) AS score", "score")}), dn AS (SELECT q.vec_id AS id, v.vec_id AS code, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score
   FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
-  dr AS (SELECT id, code, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS rank, round(score, 6) AS score FROM dn QUALIFY rank <= 20),
+  dr AS (SELECT id, code, row_number() OVER (PARTITION BY id ORDER BY score DESC, code) AS rank, round(score, 9) AS score FROM dn QUALIFY rank <= 20),
   p AS (SELECT id, doc_id AS code, rank, least(score / 20, 1) AS norm, 0.7::DOUBLE AS weight FROM b UNION ALL SELECT id, code, rank, least(score, 1), 0.75::DOUBLE FROM dr)"""
 TABLE_FUSED = "SELECT id, code, round(score, 6) AS score, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, code) AS rank FROM f QUALIFY rank <= 20"
 
@@ -421,9 +427,9 @@ def rrf_fuse_tables(spark, sf_dir):
     return retrieve.fuse_ranks(_table_ranks(spark, sf_dir), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
 
 
-@query(f"WITH {TABLE_RANKS}, f AS (SELECT id, code, sum(weight * norm) AS score FROM p GROUP BY 1, 2) {TABLE_FUSED}")
+@query(f"WITH {TABLE_RANKS}, f AS (SELECT id, code, sum(weight * norm) AS score FROM p GROUP BY 1, 2) {TABLE_FUSED.replace("round(score, 6) AS score", "round(score, 3) AS score")}")
 def weighted_fuse_tables(spark, sf_dir):
-    return retrieve.fuse_weighted(_table_ranks(spark, sf_dir), "code").select("id", "code", F.round("score", 6).alias("score"), F.expr(LONG_RANK))
+    return retrieve.fuse_weighted(_table_ranks(spark, sf_dir), "code").select("id", "code", F.round("score", 3).alias("score"), F.expr(LONG_RANK))
 
 
 @query()

@@ -259,7 +259,7 @@ def test_config():
     assert c.n_candidates == 3 and c.merge == "rrf"
 
 
-FAST = [q for q in registry.ORACLE_SQL if q not in ("span_proximity", "nearest_preceding")]
+FAST = [q for q in registry.ORACLE_SQL if q not in ("span_proximity", "nearest_preceding", "ablation_notes", "clinical_notes")]
 
 
 @pytest.mark.parametrize("name", FAST)
