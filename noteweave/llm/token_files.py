@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -180,7 +181,9 @@ def write_token_files(
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """What the files hold, one row for each run of a document in a block: shard, block,
-    doc_number, doc_id, doc_from (ids of the document before the run) and ids (binary)."""
+    doc_number, doc_id, doc_from (ids of the document before the run) and ids (binary).
+    Documents of one doc_id, or of none, differ in doc_number; files without blocks give
+    no rows."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,14 +210,17 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
 
     Runs give partial checksums, which combine to those of whole documents; starts come
     from a running sum inside each shard on top of the totals of the shards before it.
+    Repeated documents and null doc_ids have a row each; files of an empty table give none.
     """
 
-    @F.udf("long")
-    def combined(parts):
-        crc = 0
-        for k, p in enumerate(parts):
-            crc = p["crc"] if k == 0 else crc32_combine(crc, p["crc"], 4 * p["n"])
-        return crc
+    @F.arrow_udf("long")
+    def combined(crcs: pa.Array, sizes: pa.Array) -> pa.Array:
+        out = np.asarray(pc.list_element(crcs, 0)).copy()
+        many = np.flatnonzero(np.asarray(crcs.value_lengths()) > 1)
+        for i, own, n in zip(many.tolist(), crcs.take(many).to_pylist(), sizes.take(many).to_pylist(), strict=True):
+            for crc, size in zip(own[1:], n[1:], strict=True):
+                out[i] = crc32_combine(int(out[i]), crc, 4 * size)
+        return pa.array(out, pa.int64())
 
     runs = read_token_files(spark, path).select(
         "shard", "doc_number", "doc_id", "doc_from", (F.octet_length("ids") / 4).cast("long").alias("n"), F.crc32("ids").alias("crc")
@@ -222,10 +228,9 @@ def document_digests(spark: SparkSession, path: str) -> DataFrame:
     docs = runs.groupBy("shard", "doc_number").agg(
         F.first("doc_id").alias("doc_id"),
         F.sum("n").alias("n_tokens"),
-        F.first("crc").alias("crc"),
         F.array_sort(F.collect_list(F.struct("doc_from", "n", "crc"))).alias("parts"),
     )
-    whole = docs.withColumn("ids_crc32", F.when(F.size("parts") == 1, F.col("crc")).otherwise(combined("parts")))
+    whole = docs.withColumn("ids_crc32", combined(F.col("parts.crc"), F.col("parts.n")))
     sizes = spark.read.parquet(path).groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # One row for each shard: as many as the writer had partitions.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
