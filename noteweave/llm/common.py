@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,34 +11,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, scratch
+
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is `spark.checkpoint.dir` where the session has it, else the checkpoint
-    folder already set on the context, else (local mode, tests) a new temporary one.
-    """
-    sc = spark.sparkContext
-    held = sc._jsc.sc().getCheckpointDir()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if held.isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="noteweave-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost
     executor costs a re-read and not a recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return cut(df)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that the driver and all executors share."""
+    return scratch(spark, name)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
