@@ -7,7 +7,7 @@ and resolving them needs no shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -169,6 +169,25 @@ def flat(parts: Sequence[Column]) -> Column:
     return F.concat(*parts)
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def constant_array(items: Sequence[str]) -> Column:
+    """An array of strings, parsed as one expression: a call for each item would take longer
+    than the query."""
+    return F.expr("array(" + ", ".join(map(_quoted, items)) + ")")
+
+
+def constant_map(items: Mapping[str, str]) -> Column:
+    return F.expr("map(" + ", ".join(_quoted(x) for pair in items.items() for x in pair) + ")")
+
+
+def holds_any(text: Column, items: Sequence[str]) -> Column:
+    """Whether a text holds one of the items."""
+    return F.exists(constant_array(items), lambda x: F.contains(text, x))
+
+
 def any_of(items: Sequence[str], test: Callable[[str], Column]) -> Column:
     out = F.lit(False)
     for x in items:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.scan import RuleSet
-from ..functions.spans import any_of, before, flat, gap_between, keep_longest, overlaps, piece, unicode_pattern
+from ..functions.spans import before, constant_map, flat, gap_between, holds_any, keep_longest, overlaps, piece, unicode_pattern
 
 NUMBER = r"\d+(?:[.,]\d+)?"
 DOSE = rf"{NUMBER}\s*(?:mg|g|ml|mcg|iu|%)"
@@ -36,7 +36,7 @@ DISEASE = "struct<start:int,end:int,text:string,context:string,is_diagnosed:bool
 
 def lab_tests(matches: Column) -> Column:
     """start, end, text, normalized_name; names first, then phrases, repeats kept."""
-    names = F.create_map(*(F.lit(x) for pair in V.LAB_SYNONYMS.items() for x in pair))
+    names = constant_map(V.LAB_SYNONYMS)
 
     def named(found: Column, name: Callable[[Column], Column]) -> Column:
         return F.transform(found, lambda x: F.struct(x["start"], x["end"], x["text"], name(x).alias("normalized_name")))
@@ -140,13 +140,12 @@ def mention_context(back: Column, own: Column) -> Column:
     """CHẨN_ĐOÁN or TRIỆU_CHỨNG, by the first rule that fits; back: what stands before a
     mention, own: the mention, both lower-cased."""
     tail = F.substring(back, F.greatest(F.lit(1), F.char_length(back) - 14), F.lit(15))
-    has = lambda c: lambda x: F.contains(c, F.lit(x))
     return (
         F.when(F.rlike(back, F.lit(DIAGNOSTIC)), "CHẨN_ĐOÁN")
-        .when(any_of(V.KNOWN_DIAGNOSES, has(own)), "CHẨN_ĐOÁN")
-        .when(any_of(V.SYMPTOM_MARKERS, has(back)), "TRIỆU_CHỨNG")
-        .when(any_of(V.SYMPTOM_WORDS, has(tail)), "TRIỆU_CHỨNG")
-        .when(any_of(["loại trừ", "không"], has(back)), "CHẨN_ĐOÁN")
+        .when(holds_any(own, V.KNOWN_DIAGNOSES), "CHẨN_ĐOÁN")
+        .when(holds_any(back, V.SYMPTOM_MARKERS), "TRIỆU_CHỨNG")
+        .when(holds_any(tail, V.SYMPTOM_WORDS), "TRIỆU_CHỨNG")
+        .when(holds_any(back, ["loại trừ", "không"]), "CHẨN_ĐOÁN")
         .otherwise("TRIỆU_CHỨNG")
     )
 
@@ -160,7 +159,7 @@ def diseases(text: Column, matches: Column) -> Column:
         return F.struct(x.alias("x"), back.alias("back"), F.lower(x["text"]).alias("own"))
 
     def judge(c: Column) -> Column:
-        diagnosed = any_of(V.DIAGNOSED_MARKERS, lambda m: F.contains(c["back"], F.lit(m)))
+        diagnosed = holds_any(c["back"], V.DIAGNOSED_MARKERS)
         return F.struct(c["x"], mention_context(c["back"], c["own"]).alias("context"), diagnosed.alias("is_diagnosed"))
 
     def row(j: Column) -> Column:
