@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -326,6 +327,32 @@ def fill_templates(spark: SparkSession, templates: Sequence[str], slot: str, val
     return rows.select("id", text.alias("text"), F.array(entity).alias("entities"))
 
 
+def fill_slots(spark: SparkSession, templates: Sequence[str], slots: Mapping[str, tuple[Sequence[str], str | None]], n: int, seed: int = 42) -> DataFrame:
+    """n samples (id, text, entities) of templates with any number of {slots}.
+
+    slots: values and entity type by name; a slot without a type makes no entity, one that
+    is not known stays as it is.  Each place draws its own value, by a seeded hash.
+    """
+
+    def build(template: str) -> Column:
+        pieces, at, texts, found = re.split(r"\{(\w+)\}", template), F.lit(0), [], []
+        for k, piece in enumerate(pieces):
+            values, kind = slots.get(piece, ([], None)) if k % 2 else ([piece], None)
+            own = F.get(F.array(*map(F.lit, values)), _pick(F.lit(len(values)), seed + 1 + k, "id")) if values else F.lit("{" + piece + "}")
+            end = at + F.char_length(own)
+            if kind:
+                found.append(F.struct(at.alias("start"), end.alias("end"), own.alias("text"), F.lit(kind).alias("type")))
+            texts.append(own)
+            at = end
+        none = F.array().cast("array<struct<start:int,end:int,text:string,type:string>>")
+        return F.struct(F.concat(*texts).alias("text"), F.concat(none, F.array(*found)).alias("entities") if found else none.alias("entities"))
+
+    turn, made = _pick(F.lit(len(templates)), seed, "id"), F.lit(None)
+    for k, template in enumerate(templates):
+        made = F.when(turn == k, build(template)).otherwise(made)
+    return spark.range(n).select("id", made.alias("s")).select("id", "s.text", "s.entities")
+
+
 def linking_samples(spark: SparkSession, entries: DataFrame, contexts: Sequence[str], n: int, negatives: int = 4, seed: int = 42) -> DataFrame:
     """n samples of id, query_text, mention, positive, negatives.
 

@@ -704,6 +704,26 @@ def drug_evaluation_mentions(spark, sf_dir):
     return metrics.drug_evaluation(judged).join(errors, F.lit(True))  # one row each
 
 
+CODED_GOLD, CODED_SAID = ["I10", "J18.9", "E11.9", "Z99", "J45.9"], ["cao huyết áp", "viêm phổi", "ABC", "hen", "something"]
+CODED_GOT = [["I10"], ["J18.0", "I10"], [], ["E11.9", "I64"], ["K21.9", "J45.9"], ["Z9"]]
+ICD_NAMES = values([(e["code"], e.get("name_vi") or "", e.get("name_en") or "", [a.lower().strip() for a in e.get("aliases") or []] or [""], [a.lower().strip() for a in e.get("synonyms") or []] or [""]) for e in K.ICD], "code, vi, en, aliases, synonyms")
+
+
+@query(
+    f"""WITH m AS (SELECT doc_id AS id, {pick_sql(CODED_GOLD)} AS gold, {pick_sql(CODED_SAID, "n_chars")} AS mention,
+        ([{", ".join("[" + ", ".join(f"'{c}'" for c in own) + "]" if own else "CAST([] AS VARCHAR[])" for own in CODED_GOT)}])[doc_id % {len(CODED_GOT)} + 1] AS codes FROM documents),
+    e AS (SELECT * FROM {ICD_NAMES})
+    SELECT id, coalesce(list_position(codes, gold), 0)::INTEGER AS rank, CASE WHEN list_contains(codes, gold) THEN NULL WHEN list_contains(aliases, lower(mention)) THEN 'exact_alias_missing'
+      WHEN list_contains(synonyms, lower(mention)) THEN 'synonym_missing' WHEN vi <> '' AND en <> '' THEN 'translation_issue' WHEN mention = 'ABC' THEN 'abbreviation_issue'
+      WHEN len(list_filter(codes, lambda c: starts_with(c, substr(gold, 1, 3)) OR starts_with(gold, substr(c, 1, 3)))) > 0 THEN 'wrong_granularity' ELSE 'dense_mismatch' END AS error
+    FROM m LEFT JOIN e ON e.code = m.gold"""
+)
+def icd_errors_mentions(spark, sf_dir):
+    codes = F.get(F.array(*(F.array(*map(F.lit, own)).cast("array<string>") for own in CODED_GOT)), F.pmod(doc_id(), F.lit(len(CODED_GOT))).cast("int"))
+    rows = documents(spark, sf_dir).select(doc_id().alias("id"), pick(CODED_SAID, n_chars()).alias("mention"), pick(CODED_GOLD).alias("gold"), codes.alias("codes"))
+    return metrics.judged_codes(rows, kb.icd(spark)).select("id", "rank", "error")
+
+
 CHAPTERS = values([(k, e["code"], e.get("chapter") or "unknown", [a.lower().strip() for a in [*(e.get("aliases") or []), *(e.get("synonyms") or [])]] or [""]) for k, e in enumerate(K.ICD)], "seq, code, chapter, terms")
 GOLD_ICD = ["I10", "J18.9", "K21.9", "E11.9", "nowhere"]
 

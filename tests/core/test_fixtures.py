@@ -46,6 +46,24 @@ def test_errors_and_ratios(spark):
     assert rows(metrics.prf(gold, found, ["doc_id", *metrics.KEY]), "tp", "fp", "fn") == [(2, 3, 3)]
 
 
+def test_classified_errors(spark):
+    schema = "doc_id int, seq int, text string, start int, end int, type string, assertions array<string>, candidates array<string>"
+    gold = [(1, 1, "ho", 0, 2, "T", [], []), (1, 2, "ho", 9, 11, "T", [], []), (1, 3, "hen", 20, 23, "CHẨN_ĐOÁN", ["isNegated"], ["J45.9"]), (2, 1, "x", 0, 1, "T", [], []), (2, 2, "x", 0, 1, "T", [], [])]
+    found = [(1, 1, "ho", 0, 2, "T", [], []), (1, 2, "ho", 5, 7, "T", [], []), (1, 3, "hen", 20, 23, "CHẨN_ĐOÁN", [], []), (3, 1, "y", 0, 1, "T", None, [])]
+    got = rows(metrics.classified_errors(spark.createDataFrame(gold, schema), spark.createDataFrame(found, schema)), "doc_id", "text", "error", "start")
+    assert got == sorted(
+        [(1, "ho", "missed_entity", 9), (2, "x", "missed_entity", 0), (1, "ho", "false_positive", 5), (3, "y", "false_positive", 0)]
+        + [(1, "ho", "wrong_boundary", 5), (1, "ho", "wrong_boundary", 0), (1, "hen", "wrong_assertion", 20), (1, "hen", "icd_gold_missing", 20)]
+    )
+
+
+def test_filled_slots(spark):
+    slots = {"drug": (["aspirin", "metformin"], "THUỐC"), "n": (["1", "22"], None)}
+    made = dataset.fill_slots(spark, ["BN dùng {drug} {n} viên, {drug}.", "Không {other} {drug}", "chữ"], slots, 60).collect()
+    assert len(made) == 60 and {len(r.entities) for r in made} == {0, 1, 2} and any("{other}" in r.text for r in made)
+    assert all(r.text[e.start : e.end] == e.text and e.type == "THUỐC" for r in made for e in r.entities)
+
+
 def test_tokens(spark):
     data = [(1, [0, 4, 9, 0], [(0, 0), (0, 4), (5, 10), (11, 12)]), (2, [1, 6, 9, 1, 5], [(0, 2), (2, 4), (5, 7), (8, 9), (10, 12)]), (3, [6, 0, 2], [(0, 2), (3, 4), (5, 9)])]
     df = spark.createDataFrame(data, "id int, pred array<int>, offsets array<struct<start:int,end:int>>").withColumn("e", tokens.decode(F.col("pred"), F.col("offsets")))
