@@ -9,12 +9,12 @@ document with a smaller id.  Four steps keep the work near the repeated parts:
    window alone, so equal windows agree in it.  Consecutive windows with one such hash
    are a segment.  Only hashes, ids and places are shuffled, as sorted runs, to find
    hashes that more than one document has.
-3. Bytes of those segments alone go to the shard of their hash.  A shard builds suffix
-   arrays over them (prefix doubling in numpy that only goes on with groups which are
+3. Bytes of those segments alone go to the bucket of their hash.  A shard builds a suffix
+   array over them (prefix doubling in numpy that only goes on with groups which are
    not yet single, after Larsson and Sadakane), takes common prefixes in text order
-   (Kasai), and reads off groups of equal windows with their smallest id.  Where a shard
-   is large, it is cut into parts with suffix arrays of their own, whose sorted windows
-   are merged by binary search.
+   (Kasai), and reads off groups of equal windows with their smallest id.  A bucket holds
+   several shards, whose sorted windows are merged by binary search: first by their first
+   eight bytes, then, where these meet, by all of them.
 4. Spans meet their text, once.
 
 Whatever repeats inside a block of documents is decided there and sent once, so that a
@@ -37,7 +37,8 @@ from .common import RollingHash, binary_column, give_back, materialize, mix64, r
 GRAM = 20
 CHUNK_BYTES = 1 << 18
 BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 1 << 20
+#: Bytes of one suffix array; a bucket of segments holds several.
+SHARD_BYTES = 1 << 17
 #: Exact copies are anti-joined by broadcast up to so many rows of 24 bytes, else by shuffle.
 BROADCAST_ROWS = 1_000_000
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=np.uint64))
@@ -192,6 +193,29 @@ def window_groups(text: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.
     return order[keep], group[keep]
 
 
+def _prefixes(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """The first eight bytes of the window at each place, as numbers in their order."""
+    out = np.zeros(len(places), np.uint64)
+    for k in range(min(8, window)):
+        out = (out << np.uint64(8)) | text[places + k]
+    return out
+
+
+def _within(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of some are among others; others: sorted."""
+    if not len(others):
+        return np.zeros(len(some), bool)
+    return others[np.minimum(np.searchsorted(others, some), len(others) - 1)] == some
+
+
+def _windows(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """The windows at places, as byte strings that compare like them."""
+    key = np.zeros((len(places), window + 1), np.uint8)
+    key[:, :window] = np.lib.stride_tricks.sliding_window_view(text, window)[places]
+    key[:, window] = 1  # so that no key ends in a zero byte
+    return key.view(f"S{window + 1}").reshape(-1)
+
+
 def smallest_ids(raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
     """For every window of the segments (end to end in raw), the smallest id of a segment
     that has it; windows in the order of the segments."""
@@ -201,7 +225,7 @@ def smallest_ids(raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window:
     places = ranges(starts, counts)
     base = np.concatenate(([0], np.cumsum(counts)))
     parts = list(runs_of(lengths, shard_bytes))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     for a, b in parts:
         lo, hi = int(starts[a]), int(starts[b - 1] + lengths[b - 1])
         own = raw[lo:hi]
@@ -212,21 +236,23 @@ def smallest_ids(raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window:
         numbers = number[at]
         least = np.minimum.reduceat(out[numbers], heads) if len(heads) else out[:0]
         sizes = np.diff(np.append(heads, len(at)))
-        out[numbers] = np.repeat(least, sizes)
-        if len(parts) > 1:
-            key = np.zeros((len(heads), window + 1), np.uint8)
-            key[:, :window] = np.lib.stride_tricks.sliding_window_view(own, window)[at[heads]]
-            key[:, window] = 1  # so that no key ends in a zero byte
-            found.append((key.view(f"S{window + 1}").reshape(-1), least, np.repeat(np.arange(len(heads)), sizes)))
-            found[-1] += (numbers,)  # type: ignore[assignment]
-    for k in range(len(found)):  # merge each part's sorted windows with the others' by binary search
-        keys, least = found[k][0], found[k][1].copy()
-        for m in range(len(found)):
-            if m != k and len(found[m][0]):
-                at = np.minimum(np.searchsorted(found[m][0], keys), len(found[m][0]) - 1)
-                hit = found[m][0][at] == keys
-                least[hit] = np.minimum(least[hit], found[m][1][at[hit]])
-        out[found[k][3]] = least[found[k][2]]
+        found.append((own, at[heads], least, np.repeat(np.arange(len(heads)), sizes), numbers))
+    # The sorted windows of each two parts are merged by binary search.
+    merged = [f[2].copy() for f in found]
+    prefixes = [_prefixes(f[0], f[1], window) for f in found] if len(found) > 1 else []
+    for k, (own, at, least, _, _) in enumerate(found):
+        for m in range(k + 1, len(found)):
+            mine, theirs = (np.flatnonzero(_within(prefixes[x], prefixes[y])) for x, y in ((k, m), (m, k)))
+            if not len(mine):
+                continue
+            keys, others = _windows(own, at[mine], window), _windows(found[m][0], found[m][1][theirs], window)
+            place = np.minimum(np.searchsorted(others, keys), len(others) - 1)
+            hit = others[place] == keys
+            mine, theirs = mine[hit], theirs[place[hit]]
+            merged[k][mine] = np.minimum(merged[k][mine], found[m][2][theirs])
+            merged[m][theirs] = np.minimum(merged[m][theirs], least[mine])
+    for (_, _, _, group, numbers), least in zip(found, merged, strict=True):
+        out[numbers] = least[group]
     return out
 
 
@@ -330,7 +356,7 @@ def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataF
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, start long")
 
 
-def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, row, low and high of spans that repeat a document with a smaller id.
 
     marked: doc_id, row (tells rows of one doc_id apart), text and starts of its shared
@@ -398,7 +424,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
             out.append((doc[later], row[later], start[later], (start + size)[later]))
             # One suffix each of what is distinct; its owners are those with the smallest id.
             first = order[heads]
-            ids = smallest_ids(raw[ranges(at[first], size[first])], size[first], doc[first], window)
+            ids = smallest_ids(raw[ranges(at[first], size[first])], size[first], doc[first], window, shard_bytes)
             repeats = ids < np.repeat(doc[first], size[first] - window + 1)
             group = np.zeros(len(doc), np.int64)
             group[order] = np.repeat(np.arange(len(heads)), n)
@@ -425,7 +451,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int) -> Data
     return sent.groupBy("bucket").applyInArrow(resolve, "doc_id long, row long, low long, high long")
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Remove each byte covered by a string of `window` bytes that also starts in a
     document with a smaller doc_id, judged on the input.
 
@@ -459,7 +485,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM) -> DataF
     dealt = rows.repartition(partitions, "doc_id")
     none = F.array().cast("array<int>")
     marked = dealt.join(shared, "doc_id", "left").select("doc_id", "row", "text", F.coalesce("starts", none).alias("starts"))
-    spans = repeated_spans(marked, window, gram, bits)
+    spans = repeated_spans(marked, window, gram, bits, shard_bytes)
     whole = copies.select("doc_id", "row", F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"))
     found = F.array_sort(F.collect_list(F.struct("row", "low", "high")))
     by_doc = spans.unionByName(whole).groupBy("doc_id").agg(found.alias("found"))

@@ -194,6 +194,7 @@ def test_removal_of_random_texts(spark, seed):
     rows = random_corpus(seed, "ab" if seed else "abcdefgh \n")
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, starts string").repartition(5)
     assert removal_rows(substring_dedup.remove_repeats(df)) == plain_removal(rows)
+    assert removal_rows(substring_dedup.remove_repeats(df, shard_bytes=150)) == plain_removal(rows)
 
 
 def test_removal_edge_cases(spark, monkeypatch):
