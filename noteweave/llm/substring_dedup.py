@@ -11,10 +11,12 @@ document with a smaller id.  Four steps keep the work near the repeated parts:
    hashes that more than one document has.
 3. Bytes of those segments alone go to the bucket of their hash.  A shard builds a suffix
    array over them (prefix doubling in numpy that only goes on with groups which are
-   not yet single, after Larsson and Sadakane), takes common prefixes in text order
-   (Kasai), and reads off groups of equal windows with their smallest id.  A bucket holds
-   several shards, whose sorted windows are merged by binary search: first by their first
-   eight bytes, then, where these meet, by all of them.
+   not yet single, after Larsson and Sadakane, to the depth of a window), takes common
+   prefixes of neighbours, and reads off groups of equal windows with their smallest id.
+   A bucket holds several shards.  They are cut in the order of the hashes and, where that
+   can be, between two of them: then no window is in both.  Only where segments of one hash
+   fill several shards are these merged, all at once: windows whose hashes meet are compared
+   by their bytes.
 4. Spans meet their text, once.
 
 Whatever repeats inside a block of documents is decided there and sent once, so that a
@@ -46,14 +48,25 @@ _SHARED = 0xFFFFFFFF
 SALTS = 32
 
 
+#: Made once in each worker: making one takes longer than to compress a short row.
+_FAST, _DENSE, _BACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
+def packed(raw: np.ndarray) -> bytes:
+    return _DENSE.compress(raw)
+
+
+def unpacked(data: bytes) -> bytes:
+    return _BACK.decompress(data)
+
+
 def squeeze(a: np.ndarray) -> bytes:
     """Byte planes of an array, compressed."""
-    planes = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return _FAST.compress(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
 
 
 def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
+    planes = np.frombuffer(unpacked(raw), np.uint8)
     return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
 
 
@@ -75,20 +88,24 @@ def segments(raw: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> tu
     n = len(raw) - window + 1
     if n <= 0:
         return none.astype(np.uint64), none, none, none
-    at = np.arange(len(raw) - gram + 1)
-    low = sliding_min(rolling.slices(at, at + gram), window - gram + 1)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[:n]
-    inside = np.flatnonzero(np.arange(n) + window <= offsets[1:][owner])
-    low, owner = low[inside], owner[inside]
-    new = np.ones(len(low), bool)
-    new[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+    low = sliding_min(rolling.grams(gram), window - gram + 1)
+    new = np.ones(n, bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    # Windows begin in [start, end) of a text; those over two texts are none.
+    end = np.maximum(offsets[1:] - window + 1, offsets[:-1])
+    some = np.flatnonzero(end > offsets[:-1])
+    start, stop = offsets[some], end[some]
+    new[start] = True
+    new[ranges(np.append(0, stop), np.append(start, n) - np.append(0, stop))] = False
     first = np.flatnonzero(new)
-    return low[first], owner[first], inside[first], np.diff(np.append(first, len(low)))
+    owner = np.searchsorted(offsets, first, side="right") - 1
+    return low[first], owner, first, np.minimum(np.append(first[1:], n), end[owner]) - first
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
+def suffix_array(text: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Suffix array of bytes.  `rank` is a group number for each place; after each round,
-    groups hold suffixes that agree in twice as many bytes; single ones are done."""
+    groups hold suffixes that agree in twice as many bytes; single ones are done.  With a
+    limit, suffixes that agree in so many bytes are neighbours in any order."""
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
@@ -96,7 +113,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ordered = key[order]
     new = np.ones(n, bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -118,21 +135,36 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     while True:
         single = new & np.append(new[1:], True)
         left = np.flatnonzero(~single)
-        if not len(left):
+        if not len(left) or (limit is not None and depth >= limit):
             return order
         places = order[left]
-        group, nxt = rank[places], rank[np.minimum(places + depth, n)]
-        sub = np.lexsort((nxt, group))
-        places, group, nxt = places[sub], group[sub], nxt[sub]
+        pair = rank[places] * (n + 1) + rank[np.minimum(places + depth, n)]
+        sub = np.argsort(pair)
+        places, pair = places[sub], pair[sub]
         order[left] = places
         again = np.ones(len(left), bool)
-        again[1:] = (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])
+        again[1:] = pair[1:] != pair[:-1]
         new[left] = again
         heads = np.flatnonzero(again)
         rank[places] = np.repeat(left[heads], np.diff(np.append(heads, len(left)))) + 1
         depth *= 2
 
 
+def agree(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """Whether the window at each place equals the one at the place before it in `places`:
+    eight bytes a round, of those that agreed so far."""
+    n, step = len(text), min(8, window)
+    words = np.zeros(max(0, n - step + 1), np.uint64)
+    for k in range(step):
+        words = (words << np.uint64(8)) | text[k : n - step + 1 + k]
+    live = np.arange(1, len(places))
+    for k in [*range(0, window - step, step), window - step]:
+        live = live[words[places[live] + k] == words[places[live - 1] + k]]
+    out = np.zeros(len(places), bool)
+    out[live] = True
+    return out
+
+
 def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each suffix in `order` with the one before it.
 
@@ -186,26 +218,9 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 def window_groups(text: np.ndarray, valid: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(places of windows in sorted order, number of the group of equal windows of each)."""
-    order = suffix_array(text)
-    lcp = common_prefixes(text, order)
-    group = np.cumsum(lcp < window)
-    keep = valid[order]
-    return order[keep], group[keep]
-
-
-def _prefixes(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """The first eight bytes of the window at each place, as numbers in their order."""
-    out = np.zeros(len(places), np.uint64)
-    for k in range(min(8, window)):
-        out = (out << np.uint64(8)) | text[places + k]
-    return out
-
-
-def _within(some: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Which of some are among others; others: sorted."""
-    if not len(others):
-        return np.zeros(len(some), bool)
-    return others[np.minimum(np.searchsorted(others, some), len(others) - 1)] == some
+    order = suffix_array(text, window)
+    order = order[valid[order]]
+    return order, np.cumsum(~agree(text, order, window))
 
 
 def _windows(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
@@ -216,43 +231,64 @@ def _windows(text: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     return key.view(f"S{window + 1}").reshape(-1)
 
 
-def smallest_ids(raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+def _merged(raw: np.ndarray, at: np.ndarray, least: np.ndarray, window: int) -> np.ndarray:
+    """The smallest `least` of all equal windows, for the window at each place of raw."""
+    h = RollingHash(_BYTE_VALUE[raw]).slices(at, at + window)
+    order = np.argsort(h)
+    same = np.append(False, h[order[1:]] == h[order[:-1]])
+    order = order[same | np.append(same[1:], False)]
+    run = np.cumsum(~same[same | np.append(same[1:], False)])
+    if not len(order):
+        return least
+    # Of windows with one hash all are equal, or else they are sorted by their bytes.
+    odd = ~agree(raw, at[order], window) & np.append(False, run[1:] == run[:-1])
+    if odd.any():
+        mixed = np.isin(run, run[odd])
+        others = order[mixed]
+        order = np.concatenate((order[~mixed], others[np.argsort(_windows(raw, at[others], window))]))
+    heads = np.flatnonzero(~agree(raw, at[order], window))
+    out = least.copy()
+    out[order] = np.repeat(np.minimum.reduceat(least[order], heads), np.diff(np.append(heads, len(order))))
+    return out
+
+
+def smallest_ids(raw: np.ndarray, lengths: np.ndarray, ids: np.ndarray, window: int, shard_bytes: int = SHARD_BYTES, keys: np.ndarray | None = None) -> np.ndarray:
     """For every window of the segments (end to end in raw), the smallest id of a segment
-    that has it; windows in the order of the segments."""
+    that has it; windows in the order of the segments.
+
+    keys: ascending, one for each segment, such that segments with equal windows have one
+    key; without them, all have.
+    """
     counts = lengths - window + 1
     out = np.repeat(ids, counts)
     starts = np.cumsum(lengths) - lengths
     places = ranges(starts, counts)
     base = np.concatenate(([0], np.cumsum(counts)))
-    parts = list(runs_of(lengths, shard_bytes))
-    found: list[tuple[np.ndarray, ...]] = []
-    for a, b in parts:
-        lo, hi = int(starts[a]), int(starts[b - 1] + lengths[b - 1])
-        own = raw[lo:hi]
-        number = np.full(hi - lo, -1, np.int64)
-        number[places[base[a] : base[b]] - lo] = np.arange(base[a], base[b])
-        at, group = window_groups(own, number >= 0, window)
-        heads = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else group
-        numbers = number[at]
-        least = np.minimum.reduceat(out[numbers], heads) if len(heads) else out[:0]
-        sizes = np.diff(np.append(heads, len(at)))
-        found.append((own, at[heads], least, np.repeat(np.arange(len(heads)), sizes), numbers))
-    # The sorted windows of each two parts are merged by binary search.
-    merged = [f[2].copy() for f in found]
-    prefixes = [_prefixes(f[0], f[1], window) for f in found] if len(found) > 1 else []
-    for k, (own, at, least, _, _) in enumerate(found):
-        for m in range(k + 1, len(found)):
-            mine, theirs = (np.flatnonzero(_within(prefixes[x], prefixes[y])) for x, y in ((k, m), (m, k)))
-            if not len(mine):
+    keys = np.zeros(len(lengths), np.uint32) if keys is None else keys
+    bounds = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    sizes = np.add.reduceat(lengths, bounds[:-1]) if len(keys) else lengths
+    for first, last in runs_of(sizes, shard_bytes):
+        family = slice(int(bounds[first]), int(bounds[last]))
+        origin = int(starts[family.start])
+        found: list[tuple[np.ndarray, ...]] = []
+        for a, b in runs_of(lengths[family], shard_bytes):
+            a, b = a + family.start, b + family.start
+            lo, hi = int(starts[a]), int(starts[b - 1] + lengths[b - 1])
+            number = np.full(hi - lo, -1, np.int64)
+            number[places[base[a] : base[b]] - lo] = np.arange(base[a], base[b])
+            at, group = window_groups(raw[lo:hi], number >= 0, window)
+            if not len(at):
                 continue
-            keys, others = _windows(own, at[mine], window), _windows(found[m][0], found[m][1][theirs], window)
-            place = np.minimum(np.searchsorted(others, keys), len(others) - 1)
-            hit = others[place] == keys
-            mine, theirs = mine[hit], theirs[place[hit]]
-            merged[k][mine] = np.minimum(merged[k][mine], found[m][2][theirs])
-            merged[m][theirs] = np.minimum(merged[m][theirs], least[mine])
-    for (_, _, _, group, numbers), least in zip(found, merged, strict=True):
-        out[numbers] = least[group]
+            heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            numbers = number[at]
+            least = np.minimum.reduceat(out[numbers], heads)
+            out[numbers] = np.repeat(least, np.diff(np.append(heads, len(at))))
+            found.append((at[heads] + (lo - origin), least, numbers, np.diff(np.append(heads, len(at)))))
+        if len(found) > 1:
+            at, least = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+            end = int(starts[family.stop - 1] + lengths[family.stop - 1])
+            numbers, repeats = (np.concatenate([f[k] for f in found]) for k in (2, 3))
+            out[numbers] = np.repeat(_merged(raw[origin:end], at, least, window), repeats)
     return out
 
 
@@ -283,8 +319,11 @@ def _same(raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def _ordered_groups(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order by (first, second), heads of groups of equal first, and their sizes."""
-    order = np.lexsort((second, first))
+    order = np.argsort(first)
     f = first[order]
+    same = f[1:] == f[:-1]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    order[tied] = order[tied][np.lexsort((second[order[tied]], f[tied]))]
     heads = np.flatnonzero(np.append(True, f[1:] != f[:-1])) if len(f) else order
     return order, heads, np.diff(np.append(heads, len(f)))
 
@@ -295,8 +334,16 @@ def _runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(ordered[heads].tolist(), heads.tolist(), np.append(heads[1:], len(ordered)).tolist(), strict=len(heads) > 0)
 
 
-def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataFrame:
+def bucket_edges(buckets: int, width: int) -> np.ndarray:
+    """Where buckets of hashes end, all but the last.  The smallest of `width` hashes falls
+    into each bucket equally often."""
+    part = np.arange(1, buckets) / buckets
+    return (-np.expm1(np.log1p(-part) / width) * 2.0**64).astype(np.uint64)
+
+
+def shared_segments(docs: DataFrame, window: int, gram: int, buckets: int) -> DataFrame:
     """doc_id and start of segments whose hash more than one document has."""
+    edges = bucket_edges(buckets, window - gram + 1)
     names = ["bucket", "hashes", "ids", "starts"]
 
     def emit(rows: list[tuple]) -> pa.RecordBatch:
@@ -323,12 +370,12 @@ def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataF
             place = np.where(here, np.uint32(_SHARED), start)[send]
             sent, sent_doc = h[send], doc[send]
             rows = []
-            for k, x, y in _runs((sent >> np.uint64(64 - bits)).astype(np.int64)):
+            for k, x, y in _runs(np.searchsorted(edges, sent, side="right")):
                 steps = np.diff(sent[x:y], prepend=np.uint64(0))
                 rows.append((k, squeeze(steps), squeeze(sent_doc[x:y]), squeeze(place[x:y])))
             if here.any():
                 turn += 1
-                rows.append((int(h[0] ^ np.uint64(turn)) % (1 << bits), b"", squeeze(doc[here]), squeeze(start[here])))
+                rows.append((int(h[0] ^ np.uint64(turn)) % buckets, b"", squeeze(doc[here]), squeeze(start[here])))
             yield emit(rows)
             give_back()
 
@@ -356,14 +403,15 @@ def shared_segments(docs: DataFrame, window: int, gram: int, bits: int) -> DataF
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id long, start long")
 
 
-def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeated_spans(marked: DataFrame, window: int, gram: int, buckets: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, row, low and high of spans that repeat a document with a smaller id.
 
     marked: doc_id, row (tells rows of one doc_id apart), text and starts of its shared
     segments.  Spans may overlap.
     """
-    names = ["bucket", "kind", "data", "sizes", "ids", "rows", "starts"]
-    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 5)
+    names = ["bucket", "kind", "data", "sizes", "ids", "rows", "starts", "keys"]
+    kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 6)
+    edges = bucket_edges(buckets, window - gram + 1)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = 0
@@ -385,26 +433,26 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int, shard_b
             later = np.zeros(len(doc), bool)
             later[order] = doc[order] > np.repeat(doc[order][heads], sizes)
             size, row = count + window - 1, keys[owner]
-            bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+            bucket, key = np.searchsorted(edges, h, side="right"), h >> np.uint64(32)
             rows = []
             for kind, pick in ((0, np.flatnonzero(~later)), (1, np.flatnonzero(later))):
                 if kind == 0:
-                    pick = pick[np.argsort(bucket[pick], kind="stable")]
+                    pick = pick[np.argsort(h[pick], kind="stable")]
                     groups = [(k, pick[x:y]) for k, x, y in _runs(bucket[pick])]
                 else:
                     turn += 1
-                    groups = [((turn * 7919 + int(ids[0] & 0xFFFF)) % (1 << bits), pick)] if len(pick) else []
+                    groups = [((turn * 7919 + int(ids[0] & 0xFFFF)) % buckets, pick)] if len(pick) else []
                 for k, p in groups:
-                    data = zstandard.ZstdCompressor(level=3).compress(raw[ranges(at[p], size[p])].tobytes()) if kind == 0 else b""
-                    rows.append((k, kind, data, squeeze(size[p].astype(np.uint32)), squeeze(doc[p]), squeeze(row[p]), squeeze(start[p].astype(np.uint32))))
+                    data = packed(raw[ranges(at[p], size[p])]) if kind == 0 else b""
+                    steps = squeeze(np.diff(key[p], prepend=np.uint64(0)).astype(np.uint32)) if kind == 0 else b""
+                    rows.append((k, kind, data, squeeze(size[p].astype(np.uint32)), squeeze(doc[p]), squeeze(row[p]), squeeze(start[p].astype(np.uint32)), steps))
             give_back()
-            columns = zip(*rows, strict=True) if rows else ((),) * 7
+            columns = zip(*rows, strict=True) if rows else ((),) * 8
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def resolve(table: pa.Table) -> pa.Table:
         kind = np.asarray(table.column("kind"))
-        data = zstandard.ZstdDecompressor()
-        raw = np.frombuffer(b"".join(data.decompress(x) for x in table.column("data").to_pylist() if x), np.uint8)
+        raw = np.frombuffer(b"".join(unpacked(x) for x in table.column("data").to_pylist() if x), np.uint8)
 
         def column(name: str, form: str, of: int) -> np.ndarray:
             own = [unsqueeze(x, form) for x, k in zip(table.column(name).to_pylist(), kind, strict=True) if k == of]
@@ -423,11 +471,14 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int, shard_b
             later = doc > least
             out.append((doc[later], row[later], start[later], (start + size)[later]))
             # One suffix each of what is distinct; its owners are those with the smallest id.
-            first = order[heads]
-            ids = smallest_ids(raw[ranges(at[first], size[first])], size[first], doc[first], window, shard_bytes)
+            keys = np.concatenate([np.cumsum(unsqueeze(x, "<u4"), dtype=np.uint32) for x in table.column("keys").to_pylist() if x])
+            by = np.argsort(keys[order[heads]], kind="stable")
+            first = order[heads][by]
+            ids = smallest_ids(raw[ranges(at[first], size[first])], size[first], doc[first], window, shard_bytes, keys[first])
             repeats = ids < np.repeat(doc[first], size[first] - window + 1)
-            group = np.zeros(len(doc), np.int64)
-            group[order] = np.repeat(np.arange(len(heads)), n)
+            place, group = (np.zeros(k, np.int64) for k in (len(heads), len(doc)))
+            place[by] = np.arange(len(heads))
+            group[order] = np.repeat(place, n)
             owners = np.flatnonzero(~later)
             counts = size[first] - window + 1
             base = np.cumsum(counts) - counts
@@ -446,7 +497,7 @@ def repeated_spans(marked: DataFrame, window: int, gram: int, bits: int, shard_b
         return pa.table({k: np.concatenate([x[i] for x in out]).astype(np.int64) for i, k in enumerate(names_out)})
 
     sent = marked.select("doc_id", "row", "text", "starts").mapInArrow(
-        cut, "bucket int, kind int, data binary, sizes binary, ids binary, rows binary, starts binary"
+        cut, "bucket int, kind int, data binary, sizes binary, ids binary, rows binary, starts binary, keys binary"
     )
     return sent.groupBy("bucket").applyInArrow(resolve, "doc_id long, row long, low long, high long")
 
@@ -462,7 +513,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_by
     order) and kept (the bytes that stay, end to end).
     """
     partitions = shuffle_partitions(docs.sparkSession)
-    bits = max(6, min(31, (32 * partitions - 1).bit_length()))
+    # Rows that travel are one for each block of texts and bucket, so buckets are few and alike.
+    buckets = max(64, 2 * partitions)
     text = text_bytes()
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("row"))
     # 1. Exact copies.
@@ -479,13 +531,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = GRAM, shard_by
     live = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= window))
     live = live.join(F.broadcast(held) if small else held, ["doc_id", "row"], "left_anti")
     # 2. Segments that documents share.
-    shared = shared_segments(live, window, gram, bits).groupBy("doc_id").agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
+    shared = shared_segments(live, window, gram, buckets).groupBy("doc_id").agg(F.collect_list(F.col("start").cast("int")).alias("starts"))
     # 3. Spans.  Texts are dealt out by doc_id once, and meet the starts here and the spans
     # below; both are left joins without filters, which would make two exchanges of one.
     dealt = rows.repartition(partitions, "doc_id")
     none = F.array().cast("array<int>")
     marked = dealt.join(shared, "doc_id", "left").select("doc_id", "row", "text", F.coalesce("starts", none).alias("starts"))
-    spans = repeated_spans(marked, window, gram, bits, shard_bytes)
+    spans = repeated_spans(marked, window, gram, buckets, shard_bytes)
     whole = copies.select("doc_id", "row", F.lit(0).cast("long").alias("low"), F.col("size").cast("long").alias("high"))
     found = F.array_sort(F.collect_list(F.struct("row", "low", "high")))
     by_doc = spans.unionByName(whole).groupBy("doc_id").agg(found.alias("found"))

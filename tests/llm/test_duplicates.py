@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -233,6 +234,43 @@ def test_parts_of_a_shard_merge():
     assert whole.tolist() == [least[x[p : p + 50].tobytes()] for x in own for p in range(len(x) - 49)]
 
 
+def test_many_shards_of_a_bucket_are_not_compared_pair_by_pair():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(97, 123, (2500, 60)).astype(np.uint8)
+    own = pool[rng.integers(0, len(pool), 6000)].reshape(-1)
+    lengths, ids = np.full(6000, 60), rng.permutation(6000)
+    whole = substring_dedup.smallest_ids(own, lengths, ids, 50, shard_bytes=1 << 20)
+    start = time.process_time()
+    assert np.array_equal(whole, substring_dedup.smallest_ids(own, lengths, ids, 50, shard_bytes=150))
+    assert time.process_time() - start < 20
+
+
+def test_shards_are_cut_between_hashes():
+    rng = np.random.default_rng(10)
+    pool = rng.integers(97, 100, (30, 80)).astype(np.uint8)
+    keys = np.sort(rng.integers(0, 30, 400)).astype(np.uint32)
+    own = [pool[k][a : a + 55] for k, a in zip(keys, rng.integers(0, 20, 400), strict=True)]
+    lengths, ids = np.full(400, 55), rng.permutation(400)
+    whole = substring_dedup.smallest_ids(np.concatenate(own), lengths, ids, 50)
+    for size in (150, 1000, 5000):
+        assert np.array_equal(whole, substring_dedup.smallest_ids(np.concatenate(own), lengths, ids, 50, size, keys))
+
+
+def test_windows_of_one_hash_are_compared_by_their_bytes():
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse(1024, "a", "b"))
+    raw = np.concatenate((a, b, b, a, b))
+    got = substring_dedup._merged(raw, np.arange(5) * 1024, np.array([5, 4, 3, 2, 1]), 1024)
+    assert got.tolist() == [2, 1, 1, 2, 1]
+
+
+def test_buckets_are_filled_alike():
+    rng = np.random.default_rng(11)
+    raw = rng.integers(97, 123, 400_000).astype(np.uint8)
+    h = substring_dedup.segments(raw, np.array([0, len(raw)]), 50, 20)[0]
+    sizes = np.bincount(np.searchsorted(substring_dedup.bucket_edges(64, 31), h, side="right"), minlength=64)
+    assert len(sizes) == 64 and sizes.max() < 4 * sizes.mean()
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_suffix_arrays(seed):
     rng = np.random.default_rng(seed)
