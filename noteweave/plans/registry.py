@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import spread
-from ..functions.spans import find_spans, gap_between, hull_iou
+from ..functions.spans import find_spans, hull_iou, near_spans
 from ..operators import assertion, dataset, extract, metrics, resolve, retrieve, tokens, validate
 from ..sources import io, kb
 from ..sources import knowledge_bases as K
@@ -192,15 +192,18 @@ def span_numbers(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", found).select("doc_id", "s.start", "s.end", "s.text")
 
 
+def _with_numbers(spark, sf_dir):
+    return spread(documents(spark, sf_dir).select("doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9]")))
+
+
 @query(
     f"""WITH {span_sql(NUMBER)}, {span_sql(ARTICLE, name="a")}
     SELECT s.doc_id, s.start FROM s WHERE EXISTS (SELECT 1 FROM a WHERE a.doc_id = s.doc_id AND
       CASE WHEN s.start >= a.end_ THEN abs(s.start - a.end_) ELSE abs(a.start - s.end_) END <= 50)"""
 )
 def span_proximity(spark, sf_dir):
-    rows = documents(spark, sf_dir).select("doc_id", find_spans(F.col("text"), NUMBER).alias("n"), find_spans(F.col("text"), ARTICLE).alias("a"))
-    near = F.filter("n", lambda n: F.exists("a", lambda a: gap_between(n, a) <= 50))
-    return rows.select("doc_id", F.explode(near).alias("s")).select("doc_id", "s.start")
+    rows = _with_numbers(spark, sf_dir).select("doc_id", near_spans(F.col("text"), NUMBER, ARTICLE, 50).alias("n"))
+    return rows.select("doc_id", F.explode("n").alias("s")).select("doc_id", "s.start")
 
 
 @query(
