@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import spread
-from ..functions.spans import find_spans, hull_iou, near_spans
+from ..functions.spans import find_spans, hull_iou, near_spans, spans_after
 from ..operators import assertion, dataset, extract, metrics, resolve, retrieve, tokens, validate
 from ..sources import io, kb
 from ..sources import knowledge_bases as K
@@ -211,13 +211,8 @@ def span_proximity(spark, sf_dir):
     SELECT s.doc_id, s.start, max(a.end_) AS before FROM s JOIN a ON a.doc_id = s.doc_id AND a.end_ <= s.start AND s.start - a.end_ < 20 GROUP BY 1, 2"""
 )
 def nearest_preceding(spark, sf_dir):
-    name = lambda c: F.transform(c, lambda x: F.struct(x["start"], x["end"], x["text"], x["text"].alias("normalized_name")))
-    rows = documents(spark, sf_dir).select("doc_id", find_spans(F.col("text"), NUMBER).alias("n"), name(find_spans(F.col("text"), ARTICLE)).alias("a"))
-    joined = F.transform(
-        F.col("n"),
-        lambda n: F.struct(n["start"], F.array_max(F.transform(F.filter("a", lambda a: (a["end"] <= n["start"]) & (n["start"] - a["end"] < 20)), lambda a: a["end"])).alias("before")),
-    )
-    return rows.select("doc_id", F.explode(F.filter(joined, lambda x: x["before"].isNotNull())).alias("s")).select("doc_id", "s.start", "s.before")
+    rows = _with_numbers(spark, sf_dir).select("doc_id", spans_after(F.col("text"), NUMBER, ARTICLE, 19).alias("n"))
+    return rows.select("doc_id", F.explode("n").alias("s")).select("doc_id", "s.start", F.col("s.other").alias("before"))
 
 
 DELIMITERS = "[.。;；!！?？]"

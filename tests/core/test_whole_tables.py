@@ -57,3 +57,9 @@ def test_span_proximity_of_long_texts(spark, tmp_path):
     found, took, columns, want, names = beside_rows(spark, tmp_path, "span_proximity")
     assert found == want and len(found) > 2000 and columns == names
     assert took < 30  # quadratic in the matches of a text, this took minutes
+
+
+def test_nearest_preceding_of_long_texts(spark, tmp_path):
+    found, took, columns, want, names = beside_rows(spark, tmp_path, "nearest_preceding")
+    assert found == want and len(found) > 2000 and columns == names
+    assert took < 30  # quadratic in the matches of a text, this took minutes
